@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def dropped(df: DataFrame) -> None:
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cuts record batches into slices of about `chars` characters, so that kernels stay within bounded memory."""
     for batch in batches:
-        lengths = pa.compute.fill_null(pa.compute.utf8_length(batch.column(text)), 0).to_pylist()
+        lengths = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_pylist()
         start = total = 0
         for i, n in enumerate(lengths):
             if i > start and total + n > chars:

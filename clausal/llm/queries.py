@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clausal.llm import bpe
+from clausal.llm import bpe, jaccard_join, repetition
 from clausal.llm.common import table
 
 
@@ -16,8 +16,21 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition measures and the verdict of every document."""
+    return repetition.judge(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document: three-word shingles, a similarity of 0.9 or more."""
+    groups = jaccard_join.link_groups(table(spark, sf_dir, "documents", "doc_id", "text"), percent=90, k=3)
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe": op7_bpe,
+    "op9_repetition": op9_repetition,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
