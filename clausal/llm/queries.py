@@ -6,16 +6,37 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clausal.llm import bpe, jaccard_join, repetition
+from clausal.llm import bpe, chat, jaccard_join, line_dedup, repetition, toxicity
 from clausal.llm.common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document, learned from labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    scored = toxicity.scored(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that holds control strings, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    planted = spark.range(2).selectExpr("-7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", r"r'\### Assistant: </turn> ok' as text")
+    return chat.formatted(turns.unionByName(planted))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids and decoded texts of all documents, as digests."""
     return bpe.encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the digest of its text after line deduplication."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_gone", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition measures and the verdict of every document."""
     return repetition.judge(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -28,7 +49,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op5_chat": op5_chat,
     "op7_bpe": op7_bpe,
+    "op8_line_dedup": op8_line_dedup,
     "op9_repetition": op9_repetition,
     "op10_jaccard_join": op10_jaccard_join,
 }
