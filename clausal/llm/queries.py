@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausal.llm import bpe, chat, jaccard_join, line_dedup, repetition, toxicity
+from clausal.llm import bpe, chat, jaccard_join, line_dedup, pii, repetition, toxicity
 from clausal.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data of every document."""
+    return pii.find_personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity score of every document, learned from labels that aren't held out."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -49,6 +54,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op5_chat": op5_chat,
     "op7_bpe": op7_bpe,
