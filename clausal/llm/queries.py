@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausal.llm import bpe, chat, jaccard_join, line_dedup, pii, repetition, toxicity
+from clausal.llm import bpe, chat, jaccard_join, line_dedup, mixing, pii, repetition, search, toxicity, url_filter
 from clausal.llm.common import table
 
 
@@ -24,6 +24,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often and where each document enters the training mix."""
+    report = mixing.mix_report(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return report.withColumn("target", F.round("target", 3)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each document with an id divisible by 100, by its whole text."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return search.top_k(docs, docs.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), k=10)
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one that holds control strings, formatted and read back."""
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
@@ -31,6 +43,17 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(turns.unionByName(planted))
 
 
+#: Written URL rules: (host, path, verdict).
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL; pages of low-quality documents are the examples to block."""
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id as page_id", "1 - quality as blocked")
+    out = url_filter.judged(table(spark, sf_dir, "pages", "page_id", "url"), labels, URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids and decoded texts of all documents, as digests."""
     return bpe.encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -56,11 +79,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
+    "op3_mixing": op3_mixing,
+    "op4_search": op4_search,
     "op5_chat": op5_chat,
+    "op6_url_filter": op6_url_filter,
     "op7_bpe": op7_bpe,
     "op8_line_dedup": op8_line_dedup,
     "op9_repetition": op9_repetition,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": mixing.ORACLE_SQL,
+}
