@@ -93,8 +93,8 @@ def band_plan(percent: int, most: int = 1 << 40) -> list[tuple[int, int, int, in
     return bands
 
 
-def parts_of(s: np.ndarray, band: int, d: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Part numbers to file for a set in a band, their parity sketches, and their sizes."""
+def parts_of(s: np.ndarray, band: int, d: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Part numbers to file for a set in a band, their parity sketches and sizes, and how many of them any linked set shares at least."""
     h = mixed(s + np.uint64(band * int(_M3) & 0xFFFFFFFFFFFFFFFF))
     part = ((h >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
     counts = np.bincount(part, minlength=m)
@@ -105,8 +105,9 @@ def parts_of(s: np.ndarray, band: int, d: int, m: int) -> tuple[np.ndarray, np.n
     starts = np.r_[0, np.cumsum(counts[full])[:-1]]
     parity[full] = np.bitwise_xor.reduceat(bits, starts)
     weak = counts < STRONG
-    file = np.arange(m) if weak.sum() >= m - d else np.flatnonzero(~weak)
-    return file, parity[file], counts[file]
+    n_weak = int(weak.sum())
+    file, need = (np.arange(m), m - d) if n_weak >= m - d else (np.flatnonzero(~weak), m - d - n_weak)
+    return file, parity[file], counts[file], need
 
 
 def wide_sketch(s: np.ndarray) -> np.ndarray:
@@ -116,32 +117,34 @@ def wide_sketch(s: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """(doc_id, key, sig, n, keys) of every row: its text key, the digest of its set, its size and the buckets to file it in."""
+    """(doc_id, key, sig, n, need, keys) of every row: its text key, the digest and size of its set, the buckets to file it in, and how many of them a linked set shares at least."""
     bands = band_plan(percent)
     lows = np.array([b[0] for b in bands])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for part in slices(batches):
-            keys, sizes, sigs = [], [], []
+            keys, sizes, sigs, needs = [], [], [], []
             for s in shingler.sets(part.column("text").to_pylist()):
                 sizes.append(len(s))
                 sigs.append(xxhash.xxh3_128_digest(s.tobytes()))
                 own = int(np.searchsorted(lows, len(s), side="right")) - 1
-                found = [np.zeros(0, dtype=np.uint64)]
+                found, least = [np.zeros(0, dtype=np.uint64)], len(s) + 1
                 for b in (own, own + 1) if len(s) else ():
                     lo, _, d, m = bands[b]
                     if not d or b > own and 100 * len(s) < percent * lo:
                         continue  # only equal sets are near, or no set of the next band is near enough
-                    numbers, parity, counts = parts_of(s, b, d, m)
+                    numbers, parity, counts, need = parts_of(s, b, d, m)
+                    least = min(least, need)
                     head = np.full(len(numbers), b, dtype=np.uint64) << np.uint64(48)
                     found.append(mixed(mixed(head + numbers.astype(np.uint64)) + parity * _M3 + counts.astype(np.uint64)))
                 keys.append(np.concatenate(found).view(np.int64))
+                needs.append(least)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": part.column("doc_id"), "key": part.column("key"), "sig": pa.array(sigs, pa.binary()), "n": pa.array(sizes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())),
+                "doc_id": part.column("doc_id"), "key": part.column("key"), "sig": pa.array(sigs, pa.binary()), "n": pa.array(sizes, pa.int64()), "need": pa.array(needs, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())),
             })
 
-    return docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, sig binary, n long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, sig binary, n long, need long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -157,7 +160,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 "items": pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64())), "wide": pa.array([wide_sketch(s).view(np.int64) for _, s in rows], pa.list_(pa.int64())),
             })
 
-    return found.mapInArrow(run, "nid long, n long, items array<long>, wide array<long>").dropDuplicates(["nid"])
+    # equal rows of a document give equal sets, which only repeats links
+    return found.mapInArrow(run, "nid long, n long, items array<long>, wide array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -175,18 +179,25 @@ def link_groups(docs: DataFrame, percent: int = 80, k: int = 5, rounds: int = 6)
     key is the row's text key, label a number of the component (null for an empty set),
     component_id its least doc_id. Intermediate tables go to the shared folder.
     """
-    sketches = written(sketched(docs, percent, k), "sketches")
-    classes = sketches.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    classes = written(classes.select(F.monotonically_increasing_id().alias("nid"), "cid", "sig", "n", "keys"), "classes")
+    full = written(sketched(docs, percent, k), "sketches")
+    grouped = full.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("cid"), *[F.first(c).alias(c) for c in ("n", "need", "keys")])
+    classes = written(grouped.select(F.monotonically_increasing_id().alias("nid"), "cid", "sig", "n", "need", "keys"), "classes")
+    sketches = written(full.drop("keys", "need"), "rows")
+    dropped(full)
     # members of all buckets that hold two classes or more
-    rows = classes.select("nid", F.explode("keys").alias("bucket"))
+    rows = classes.select("nid", "need", F.explode("keys").alias("bucket"))
     within = Window.partitionBy("bucket")
-    shared = written(rows.select("bucket", "nid", F.min("nid").over(within).alias("lo"), F.max("nid").over(within).alias("hi")).filter("lo < hi"), "buckets")
-    near = shared.select("nid").distinct()
-    sets = written(sets_of(docs, classes.join(near, "nid", "left_semi").select("nid", "cid", "sig"), k), "sets")
-    # first round: every class against the least and the greatest hub of all its buckets
-    hubs = shared.groupBy("nid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    pairs = hubs.select("nid", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("hub")).filter("nid <> hub")
+    met = written(rows.select("bucket", "nid", "need", F.min("nid").over(within).alias("lo"), F.max("nid").over(within).alias("hi")).filter("lo < hi"), "buckets")
+    # a class in fewer shared buckets than any link takes has none
+    near = met.groupBy("nid").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).filter("c >= need").select("nid")
+    shared = met.select("bucket", "nid").join(near, "nid", "left_semi")
+    shared = written(shared.select("bucket", "nid", F.min("nid").over(within).alias("lo"), F.max("nid").over(within).alias("hi")).filter("lo < hi"), "buckets")
+    dropped(met)
+    hubs = shared.select("nid", F.explode(F.array("lo", "hi")).alias("hub")).filter("nid <> hub").groupBy("nid", "hub").agg(F.count(F.lit(1)).alias("c"))
+    slim = classes.select("nid", "cid", "sig")
+    sets = written(sets_of(docs, slim.join(shared.select("nid").distinct(), "nid", "left_semi"), k), "sets")
+    # first round: every class against the hub with which it shares most
+    pairs = hubs.groupBy("nid").agg(F.max(F.struct("c", "hub")).alias("best")).select("nid", "best.hub")
     links = written(verified(_ordered(pairs), sets, percent), "links")
     labels = components(links)
     spent = []
