@@ -120,7 +120,7 @@ def _voted(x: str) -> str:
     """SQL for a candidate with its votes (1 for, 0 against) and its features."""
     digits = _digits(f"{x}.m")
     by_kind = {
-        "format": (f"{x}.m rlike r'^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+$'", f"{x}.m rlike {_quoted(_OCTETS)} or contains({x}.m, ':')", f"{x}.m rlike r'^[0-9]+([\\x20-]?[0-9]+)*$'", f"startswith({x}.m, '+') or {x}.m rlike r'^\\(?[0-9]{{3}}\\)?[\\x20.-]?[0-9]{{3}}[\\x20.-]?[0-9]{{4}}$'"),
+        "format": (f"{x}.m rlike r'^[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++$'", f"{x}.m rlike {_quoted(_OCTETS)} or contains({x}.m, ':')", f"{x}.m rlike r'^[0-9](?:[\\x20-]?+[0-9])*+$'", f"startswith({x}.m, '+') or {x}.m rlike r'^\\(?[0-9]{{3}}\\)?[\\x20.-]?[0-9]{{3}}[\\x20.-]?[0-9]{{4}}$'"),
         "gazetteer": (f"lower(regexp_extract({x}.m, r'([A-Za-z0-9-]+)$', 1)) in ({', '.join(repr(d) for d in DOMAINS)})", f"contains({x}.m, ':') or try_cast(regexp_extract({x}.m, '^([0-9]+)', 1) as int) between 1 and 223", f"substring({digits}, 1, 1) in ('3', '4', '5', '6')", f"regexp_extract({x}.m, r'^\\+([0-9]{{1,2}})', 1) in ({', '.join(repr(c) for c in COUNTRY_CODES)}) or startswith({x}.m, '+1') or startswith({x}.m, '(')"),
         "structure": (f"not startswith({x}.m, '.') and not contains({x}.m, '..')", f"{x}.m not rlike r'(^|\\.)0[0-9]'", f"luhn_check({digits})", f"length({digits}) between 10 and 15 and size(array_distinct(split({digits}, ''))) > 3"),
     }
