@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausal.plans.shared import dropped, shared_dir, written
+
 #: A word is a run of characters other than these six ASCII separators.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,35 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="clausal-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet to the shared folder and reads it again.
-
-    Unlike a local checkpoint the files outlive the executors that wrote them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._clausal_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the files behind a frame that written() returned and nothing reads any more."""
-    path = getattr(df, "_clausal_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are no longer referred to; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
@@ -74,5 +50,4 @@ def text_key(column: str = "text") -> F.Column:
     return F.xxhash64(F.col(column), F.col(column).isNull())
 
 
-def sha256_hex(column) -> F.Column:
-    return F.sha2(column, 256)
+__all__ = ["SLICE_CHARS", "WORD", "dropped", "released", "shared_dir", "slices", "table", "text_key", "written"]

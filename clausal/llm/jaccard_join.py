@@ -1,17 +1,18 @@
 """N-gram Jaccard join: parity sketches, pigeonhole candidates, exact verification.
 
 Every document is a set of hashed word shingles. Within a size band the shingles are
-dealt to m parts and each part keeps a parity sketch: every shingle flips one of 64 bits.
-Two sketches differ in at most as many bits as the sets differ in elements. Sets that
+dealt to m parts and each part keeps a parity sketch: every shingle flips one bit of
+2**64, and as such a sketch is sparse, it is kept as the XOR of random words, one for each
+of its bits. Sketches differ in at most as many bits as sets differ in elements. Sets that
 reach the threshold differ in at most d elements, so at least m - d parts are untouched
-and equal; documents meet in the buckets of equal parts. Parts of fewer than
-`STRONG` shingles say little, so a document files them only if it has m - d of
-them or more; otherwise a strong part is among the untouched ones anyway.
+and equal; documents meet in the buckets of equal parts. An empty part says nothing; a
+document files it only if it has m - d of them or more, as otherwise a filled part is
+among the untouched ones anyway. A class in fewer shared buckets than any link takes is out.
 
 Documents of equal sets form a class beforehand, of which one row goes on. In a bucket
-every class is first compared with the bucket's hubs, the least ids. Verified links
+every class is first compared with hubs, a few classes of the bucket. Verified links
 give components. What is still apart in a bucket, across components, passes a test on a
-whole-set parity sketch and is verified pair by pair, so that no link between
+whole-set sketch of fixed width and is verified pair by pair, so that no link between
 components is lost, while a group of copies costs one comparison a member.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; with
@@ -30,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausal.llm.common import WORD, dropped, slices, text_key, written
+from clausal.llm.common import WORD, dropped, released, slices, text_key, written
 from clausal.llm.components import components
 
 _WORDS = re.compile(WORD.encode())
 
-#: Shingles that make a part worth filing, and parts beyond d + 1, at least and by share of d, so that weak parts seldom count.
-STRONG, SPARE, SPARE_SHARE = 3, 2, 0.25
+#: Parts beyond d + 1, at least and by share of d: the more, the more buckets a link shares at least.
+SPARE, SPARE_SHARE = 2, 0.25
 
 #: Width of a size band: its upper border divided by the lower.
 BAND = 1.5
@@ -98,15 +99,13 @@ def parts_of(s: np.ndarray, band: int, d: int, m: int) -> tuple[np.ndarray, np.n
     h = mixed(s + np.uint64(band * int(_M3) & 0xFFFFFFFFFFFFFFFF))
     part = ((h >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
     counts = np.bincount(part, minlength=m)
-    order = np.argsort(part, kind="stable")
-    bits = (np.uint64(1) << (h & np.uint64(63)))[order]
+    bits = mixed(h)[np.argsort(part, kind="stable")]
     parity = np.zeros(m, dtype=np.uint64)
     full = np.flatnonzero(counts)
-    starts = np.r_[0, np.cumsum(counts[full])[:-1]]
-    parity[full] = np.bitwise_xor.reduceat(bits, starts)
-    weak = counts < STRONG
-    n_weak = int(weak.sum())
-    file, need = (np.arange(m), m - d) if n_weak >= m - d else (np.flatnonzero(~weak), m - d - n_weak)
+    parity[full] = np.bitwise_xor.reduceat(bits, np.r_[0, np.cumsum(counts[full])[:-1]])
+    empty = m - len(full)
+    # with all parts filed one is shared at least: the other set may file its filled parts alone
+    file, need = (np.arange(m), 1) if empty >= m - d else (full, m - d - empty)
     return file, parity[file], counts[file], need
 
 
@@ -179,31 +178,38 @@ def link_groups(docs: DataFrame, percent: int = 80, k: int = 5, rounds: int = 6)
     key is the row's text key, label a number of the component (null for an empty set),
     component_id its least doc_id. Intermediate tables go to the shared folder.
     """
-    full = written(sketched(docs, percent, k), "sketches")
-    grouped = full.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("cid"), *[F.first(c).alias(c) for c in ("n", "need", "keys")])
-    classes = written(grouped.select(F.monotonically_increasing_id().alias("nid"), "cid", "sig", "n", "need", "keys"), "classes")
-    sketches = written(full.drop("keys", "need"), "rows")
-    dropped(full)
+    full = written(sketched(docs, percent, k).withColumn("nid", F.monotonically_increasing_id()), "sketches")
+    sketches = written(full.select("doc_id", "key", "sig", "n"), "rows")
+    # of equal sets the row of the least id stands for all
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "nid")
+    classes = full.filter("n > 0").groupBy("sig").agg(F.min(place).alias("first"))
+    classes = written(classes.select("sig", F.col("first.nid").alias("nid"), F.col("first.doc_id").alias("cid")), "classes")
     # members of all buckets that hold two classes or more
-    rows = classes.select("nid", "need", F.explode("keys").alias("bucket"))
+    rows = full.select("nid", "need", "keys").join(classes.select("nid"), "nid", "left_semi").select("nid", "need", F.explode("keys").alias("bucket"))
     within = Window.partitionBy("bucket")
-    met = written(rows.select("bucket", "nid", "need", F.min("nid").over(within).alias("lo"), F.max("nid").over(within).alias("hi")).filter("lo < hi"), "buckets")
+    met = written(rows.select("bucket", "nid", "need", F.min("nid").over(within).alias("lo"), F.max("nid").over(within).alias("hi")).filter("lo < hi").drop("lo", "hi"), "buckets")
+    dropped(full)
+    del rows, full
+    released(docs.sparkSession)
     # a class in fewer shared buckets than any link takes has none
-    near = met.groupBy("nid").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).filter("c >= need").select("nid")
-    shared = met.select("bucket", "nid").join(near, "nid", "left_semi")
-    shared = written(shared.select("bucket", "nid", F.min("nid").over(within).alias("lo"), F.max("nid").over(within).alias("hi")).filter("lo < hi"), "buckets")
+    shared = enough(met)
+    shared = written(shared.select("bucket", "nid", "need", F.min("nid").over(within).alias("lo"), F.max("nid").over(within).alias("hi")).filter("lo < hi"), "buckets")
     dropped(met)
+    del met
     hubs = shared.select("nid", F.explode(F.array("lo", "hi")).alias("hub")).filter("nid <> hub").groupBy("nid", "hub").agg(F.count(F.lit(1)).alias("c"))
     slim = classes.select("nid", "cid", "sig")
     sets = written(sets_of(docs, slim.join(shared.select("nid").distinct(), "nid", "left_semi"), k), "sets")
     # first round: every class against the hub with which it shares most
     pairs = hubs.groupBy("nid").agg(F.max(F.struct("c", "hub")).alias("best")).select("nid", "best.hub")
+    released(docs.sparkSession)
     links = written(verified(_ordered(pairs), sets, percent), "links")
     labels = components(links)
     spent = []
     for turn in range(rounds + 1):
-        named = shared.select("bucket", "nid").join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("bucket", "nid", F.coalesce("label", "nid").alias("label"))
-        open_rows = written(named.select("*", F.min("label").over(within).alias("least"), F.max("label").over(within).alias("most")).filter("least < most").select("bucket", "nid", "label"), "open")
+        named = shared.select("bucket", "nid", "need").join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("bucket", "nid", "need", F.coalesce("label", "nid").alias("label"))
+        # a bucket is open while it holds two components; all buckets that an unseen link shares are
+        found = enough(_open(named))
+        open_rows = written(_open(found), "open")
         spent.append(open_rows)
         if open_rows.isEmpty():
             break
@@ -214,11 +220,15 @@ def link_groups(docs: DataFrame, percent: int = 80, k: int = 5, rounds: int = 6)
             hub = open_rows.select("bucket", "nid", "label", F.min(draw).over(within).alias("hub")).filter("label <> hub.label")
             pairs = _ordered(hub.groupBy("nid").agg(F.min("hub.nid").alias("hub"))).distinct()
         else:
-            w = sets.select("nid", "n", "wide")
-            x, y = (open_rows.join(w, "nid").select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("nid", "label", "n", "wide"))) for s in "xy")
+            # each pair comes out of the first bucket that it shares, and only if it shares enough of them
+            own = open_rows.groupBy("nid").agg(F.sort_array(F.collect_list("bucket")).alias("all"))
+            w = sets.select("nid", "n", "wide").join(own, "nid")
+            x, y = (open_rows.join(w, "nid").select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("nid", "label", "need", "n", "wide", "all"))) for s in "xy")
             apart = F.aggregate(F.zip_with("wide_x", "wide_y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, b: s + b)
             close = (F.col("label_x") < F.col("label_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n_x") + F.col("n_y")))
-            pairs = x.join(y, "bucket").filter(close).select(F.col("nid_x").alias("a"), F.col("nid_y").alias("b")).distinct()
+            both = F.array_intersect("all_x", "all_y")
+            first = (F.array_min(both) == F.col("bucket")) & (F.size(both) >= F.least("need_x", "need_y"))
+            pairs = x.join(y.withColumnRenamed("bucket", "bucket_y"), (F.col("bucket") == F.col("bucket_y")) & close & first).select(F.col("nid_x").alias("a"), F.col("nid_y").alias("b")).distinct()
         pairs = written(pairs, "pairs")
         more = written(verified(pairs, sets, percent), "links")
         found, tried = more.count(), pairs.count()
@@ -239,6 +249,18 @@ def link_groups(docs: DataFrame, percent: int = 80, k: int = 5, rounds: int = 6)
     return out.select("doc_id", "key", "n_shingles", "label", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def enough(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, nid, need, ..) of classes that are in as many buckets as a link shares at least."""
+    return rows.join(rows.groupBy("nid").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).filter("c >= need").select("nid"), "nid", "left_semi")
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, nid, need, label) of buckets with two labels or more."""
+    within = Window.partitionBy("bucket")
+    marked = rows.select("bucket", "nid", "need", "label", F.min("label").over(within).alias("least"), F.max("label").over(within).alias("most"))
+    return marked.filter("least < most").drop("least", "most")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     """Pairs (nid, hub) as (a, b) with the member first."""
     return pairs.select(F.col("nid").alias("a"), F.col("hub").alias("b"))

@@ -88,15 +88,15 @@ def near_rows(rng):
     return [(i, t) for i, t in enumerate(rows)] + [(3, "other text of three here now")]
 
 
-@pytest.mark.parametrize("percent,k", [(90, 3), (80, 5), (60, 2)])
-def test_link_groups_equal_brute_force(spark, percent, k):
+@pytest.mark.parametrize("percent,k,rounds", [(90, 3, 6), (70, 2, 1)])
+def test_link_groups_equal_brute_force(spark, percent, k, rounds):
     rows = near_rows(random.Random(percent))
     sets, roots = groups(rows, percent, k)
     least: dict = {}
     for (i, _), r in zip(rows, roots, strict=True):
         least[r] = min(i, least.get(r, i))
     want = Counter((i, len(s), i if not s else least[r]) for (i, _), s, r in zip(rows, sets, roots, strict=True))
-    got = jaccard_join.link_groups(frame(spark, rows), percent, k).collect()
+    got = jaccard_join.link_groups(frame(spark, rows), percent, k, rounds).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
