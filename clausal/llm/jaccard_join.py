@@ -5,9 +5,9 @@ dealt to m parts and each part keeps a parity sketch: every shingle flips one bi
 2**64, and as such a sketch is sparse, it is kept as the XOR of random words, one for each
 of its bits. Sketches differ in at most as many bits as sets differ in elements. Sets that
 reach the threshold differ in at most d elements, so at least m - d parts are untouched
-and equal; documents meet in the buckets of equal parts. An empty part says nothing; a
-document files it only if it has m - d of them or more, as otherwise a filled part is
-among the untouched ones anyway. A class in fewer shared buckets than any link takes is out.
+and equal; documents meet in the buckets of equal parts. Parts of a few shingles say
+little; a document files them only if it has m - d of them or more, as otherwise a strong
+part is among the untouched ones anyway. A class in fewer shared buckets than any link takes is out.
 
 Documents of equal sets form a class beforehand, of which one row goes on. In a bucket
 every class is first compared with hubs, a few classes of the bucket. Verified links
@@ -22,6 +22,7 @@ share a class; a null id counts as greater than all others.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -94,7 +95,22 @@ def band_plan(percent: int, most: int = 1 << 40) -> list[tuple[int, int, int, in
     return bands
 
 
-def parts_of(s: np.ndarray, band: int, d: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def strong_from(percent: int) -> int:
+    """How many shingles a part needs to be filed: the most, up to three, that leave a spare of m - d parts.
+
+    Sizes of parts are about Poisson, and least at a band's lower border. The number is the
+    same for all documents of a join, which the least number of shared buckets rests on.
+    """
+    mean = 1 / ((1 + SPARE_SHARE) * BAND * 2 * (100 - percent) / (100 + percent))
+    weak, chance = 0.0, math.exp(-mean)
+    for k in range(3):
+        weak, chance = weak + chance, chance * mean / (k + 1)
+        if weak * (1 + SPARE_SHARE) > 0.7 * SPARE_SHARE:
+            return max(1, k)
+    return 3
+
+
+def parts_of(s: np.ndarray, band: int, d: int, m: int, strong: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Part numbers to file for a set in a band, their parity sketches and sizes, and how many of them any linked set shares at least."""
     h = mixed(s + np.uint64(band * int(_M3) & 0xFFFFFFFFFFFFFFFF))
     part = ((h >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
@@ -103,9 +119,10 @@ def parts_of(s: np.ndarray, band: int, d: int, m: int) -> tuple[np.ndarray, np.n
     parity = np.zeros(m, dtype=np.uint64)
     full = np.flatnonzero(counts)
     parity[full] = np.bitwise_xor.reduceat(bits, np.r_[0, np.cumsum(counts[full])[:-1]])
-    empty = m - len(full)
-    # with all parts filed one is shared at least: the other set may file its filled parts alone
-    file, need = (np.arange(m), 1) if empty >= m - d else (full, m - d - empty)
+    filled = np.flatnonzero(counts >= strong)
+    weak = m - len(filled)
+    # with all parts filed one is shared at least: the other set may file its strong parts alone
+    file, need = (np.arange(m), 1) if weak >= m - d else (filled, m - d - weak)
     return file, parity[file], counts[file], need
 
 
@@ -117,7 +134,7 @@ def wide_sketch(s: np.ndarray) -> np.ndarray:
 
 def sketched(docs: DataFrame, percent: int, k: int) -> DataFrame:
     """(doc_id, key, sig, n, need, keys) of every row: its text key, the digest and size of its set, the buckets to file it in, and how many of them a linked set shares at least."""
-    bands = band_plan(percent)
+    bands, strong = band_plan(percent), strong_from(percent)
     lows = np.array([b[0] for b in bands])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +150,7 @@ def sketched(docs: DataFrame, percent: int, k: int) -> DataFrame:
                     lo, _, d, m = bands[b]
                     if not d or b > own and 100 * len(s) < percent * lo:
                         continue  # only equal sets are near, or no set of the next band is near enough
-                    numbers, parity, counts, need = parts_of(s, b, d, m)
+                    numbers, parity, counts, need = parts_of(s, b, d, m, strong)
                     least = min(least, need)
                     head = np.full(len(numbers), b, dtype=np.uint64) << np.uint64(48)
                     found.append(mixed(mixed(head + numbers.astype(np.uint64)) + parity * _M3 + counts.astype(np.uint64)))
