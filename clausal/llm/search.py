@@ -37,7 +37,7 @@ from clausal.llm.common import dropped, slices, text_key, written
 _TOKENS = re.compile(r"[^\W_]+")
 
 #: Documents of a shard, of a block, and queries that run against a shard at a time and in one broadcast.
-SHARD, BLOCK, BATCH, GROUP = 16_384, 128, 256, 2_048
+SHARD, BLOCK, BATCH, GROUP = 12_288, 128, 192, 2_048
 
 #: Terms in at least so large a share of a shard's documents are scored by matrix products.
 FREQUENT = 1 / 32
@@ -157,19 +157,20 @@ class Shard:
         self.terms = np.frombuffer(row["terms"], dtype=np.uint64)
         ends = np.frombuffer(row["ends"], dtype=np.int32).astype(np.int64)
         self.start, self.df = np.r_[0, ends[:-1]], np.diff(ends, prepend=0)
-        self.docs = np.frombuffer(row["docs"], dtype=np.uint16).astype(np.int64)
+        self.docs = np.frombuffer(row["docs"], dtype=np.uint16).astype(np.int32)
         tf = np.frombuffer(row["counts"], dtype=np.uint16).astype(np.float64)
         lengths = np.frombuffer(row["lengths"], dtype=np.int32)
         norm = K1 * (1 - B + B * lengths / max(mean, 1e-9))
         self.gain = tf * (K1 + 1) / (tf + norm[self.docs])  # a posting's score but for the idf
-        owner = np.repeat(np.arange(len(self.terms)), self.df)
+        owner = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.df)
         # runs: a term's postings in a block
-        run = owner * self.blocks + self.docs // BLOCK
+        run = owner.astype(np.int64) * self.blocks + self.docs // BLOCK
         first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.zeros(0, dtype=np.int64)
         self.run_block = run[first] % self.blocks if len(run) else first
         self.run_most = np.maximum.reduceat(self.gain, first) if len(run) else np.zeros(0)
         runs_of = np.bincount(owner[first], minlength=len(self.terms)) if len(run) else np.zeros(len(self.terms), dtype=np.int64)
         self.run_start, self.runs = np.cumsum(runs_of) - runs_of, runs_of
+        del run
         # frequent terms as a dense matrix, with its block maxima
         self.frequent = np.flatnonzero(self.df >= max(FREQUENT * self.n, 2))
         self.column = np.full(len(self.terms), -1)
@@ -179,7 +180,7 @@ class Shard:
         self.dense[np.repeat(np.arange(len(self.frequent)), self.df[self.frequent]), self.docs[at]] = self.gain[at]
         self.dense_most = self.dense.reshape(len(self.frequent), self.blocks, BLOCK).max(axis=2) if self.n else self.dense
         # the forward index, for exact scores
-        self.by_doc = np.argsort(self.docs, kind="stable")
+        self.by_doc = np.argsort(self.docs, kind="stable").astype(np.int32)
         self.doc_end = np.cumsum(np.bincount(self.docs, minlength=self.n))
         self.term_of = owner
 
