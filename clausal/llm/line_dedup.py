@@ -5,9 +5,17 @@ later document that has the line too forms a pair with the holder, which is one
 a line and a document, however many documents share the line. A pair is aligned by
 patience diff over the lines they share: lines unique on both sides anchor it by their
 longest increasing subsequence, and equal lines next to anchors extend the blocks.
+Shared lines that this leaves over, for they cross or repeat, are aligned once more in
+runs of their own: adjacent lines that the holder has in the same order.
 A run of aligned lines is a common block; blocks of `block_words` words or more are
 deleted from the later document.
 
+A passage may have its lines in one order in their holder and in another in the documents
+that share it. So passages count by themselves too: windows of adjacent lines, as short as
+`block_words` words allow, are hashed like lines, and go from all documents but the
+earliest that has them. Two documents with a common passage of so many words share all its
+windows, and these cover it, whatever else they have and however often they have it.
+
 Documents are ordered by id (null last), rows of one id by a key of their text.
 
 Defined results: lines are what lies between line feeds, and blank lines are never
@@ -19,8 +27,9 @@ the text of the documents that lose lines.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -34,23 +43,45 @@ _WORDS = re.compile(WORD)
 LAST = (1 << 63) - 1
 
 
-def shared_lines(docs: DataFrame) -> DataFrame:
-    """(h, id, key, at, words): a row for each document and distinct line with a word, with the places of the line."""
+def windows(words: list[int], least: int) -> list[tuple[int, int]]:
+    """(start, stop) of the shortest windows of at least so many words from each line on and up to each line, if they have several lines."""
+    sums = [0, *accumulate(words)]
+    out: set[tuple[int, int]] = set()
+    for i in range(len(words)):
+        out.add((i, bisect_left(sums, sums[i] + least)))
+        out.add((bisect_right(sums, sums[i + 1] - least) - 1, i + 1))
+    return sorted((a, b) for a, b in out if a >= 0 and b <= len(words) and b - a > 1)
+
+
+def shared_lines(docs: DataFrame, least: int) -> DataFrame:
+    """(h, id, key, at, words): a row for each document and distinct line with a word, with the places of the line.
+
+    Windows of several lines have rows too, with the places they start at and their number of lines, negated, as words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             h, ids, keys, at, words = [], [], [], [], []
             for i, key, text in zip(part.column("id").to_pylist(), part.column("key").to_pylist(), part.column("text").to_pylist(), strict=True):
-                places: dict[str, list[int]] = {}
+                places: dict[tuple[bytes, int], list[int]] = {}
+                runs: list[list[tuple[int, bytes, int]]] = [[]]
                 for p, line in enumerate((text or "").split("\n")):
-                    places.setdefault(line, []).append(p)
-                for line, ps in places.items():
                     if n := len(_WORDS.findall(line)):
-                        h.append(xxhash.xxh3_128_digest(line.encode()))
-                        ids.append(i)
-                        keys.append(key)
-                        at.append(ps)
-                        words.append(n)
+                        digest = xxhash.xxh3_128_digest(line.encode())
+                        places.setdefault((digest, n), []).append(p)
+                        runs[-1].append((p, digest, n))
+                    elif runs[-1]:
+                        runs.append([])
+                for lines in runs:
+                    for a, b in windows([n for _, _, n in lines], least):
+                        digest = xxhash.xxh3_128_digest(b"".join(x for _, x, _ in lines[a:b]))
+                        places.setdefault((digest, a - b), []).append(lines[a][0])
+                for (digest, n), ps in places.items():
+                    h.append(digest)
+                    ids.append(i)
+                    keys.append(key)
+                    at.append(ps)
+                    words.append(n)
             yield pa.RecordBatch.from_pydict({"h": pa.array(h, pa.binary()), "id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64()), "at": pa.array(at, pa.list_(pa.int32())), "words": pa.array(words, pa.int32())})
 
     source = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), text_key().alias("key"), "text")
@@ -107,6 +138,25 @@ def aligned(later: dict[int, int], earlier: dict[int, int]) -> list[int]:
     return sorted(taken)
 
 
+def left_over(later: dict[int, int], earlier: dict[int, int], done: list[int]) -> list[list[int]]:
+    """The later document's places that aren't done, in runs of adjacent lines that the earlier one has in the same order."""
+    places: dict[int, list[int]] = {}
+    for q in sorted(earlier):
+        places.setdefault(earlier[q], []).append(q)
+    out: list[list[int]] = []
+    at = -1
+    for p in sorted(later.keys() - done):
+        qs = places[later[p]]
+        k = bisect_right(qs, at)
+        if out and p == out[-1][-1] + 1 and k < len(qs):
+            out[-1].append(p)
+            at = qs[k]
+        else:
+            out.append([p])
+            at = qs[0]
+    return out
+
+
 def blocks(places: set[int], words: dict[int, int], least: int) -> list[int]:
     """Those places that lie in runs of at least so many words."""
     out: list[int] = []
@@ -128,7 +178,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 def deletions(docs: DataFrame, block_words: int = 25) -> DataFrame:
     """(id, key, gone): for each later document that loses lines, whether the line at a place goes, up to the last that does."""
-    lines = written(shared_lines(docs), "lines")
+    lines = written(shared_lines(docs, block_words), "lines")
     holder = lines.groupBy("h").agg(F.min(F.struct("id", "key", "at")).alias("first"), F.max(F.struct("id", "key")).alias("last"))
     holder = holder.filter("first.id <> last.id or first.key <> last.key").select("h", "first")
     met = lines.join(holder, "h").filter("id <> first.id or key <> first.key")
@@ -141,23 +191,29 @@ def deletions(docs: DataFrame, block_words: int = 25) -> DataFrame:
         later: dict[int, int] = {}
         earlier: dict[int, int] = {}
         taken: set[int] = set()
+        common: set[int] = set()  # places of blocks that stand by themselves
         words: dict[int, int] = {}
+        line = 0
 
         def end_pair() -> None:
             if later:
-                taken.update(aligned(later, earlier))
+                done = aligned(later, earlier)
+                taken.update(done)
+                for places in left_over(later, earlier, done):
+                    common.update(blocks(set(places), words, block_words))
             later.clear()
             earlier.clear()
 
         def end_doc() -> None:
             end_pair()
-            if doc is not None and (gone := blocks(taken, words, block_words)):
-                flags = [False] * (gone[-1] + 1)
+            if doc is not None and (gone := common.union(blocks(taken, words, block_words))):
+                flags = [False] * (max(gone) + 1)
                 for p in gone:
                     flags[p] = True
                 for c, v in zip(found, (*doc, flags), strict=True):
                     found[c].append(v)
             taken.clear()
+            common.clear()
             words.clear()
 
         def batch() -> pa.RecordBatch:
@@ -175,7 +231,11 @@ def deletions(docs: DataFrame, block_words: int = 25) -> DataFrame:
             if (other := (row["first_id"], row["first_key"])) != pair:
                 end_pair()
                 pair = other
-            line = len(later) + len(earlier)  # a number that no line of the pair has yet
+            if row["words"] < 0:
+                for p in row["at"]:
+                    common.update(range(p, p - row["words"]))
+                continue
+            line += 1  # a number that no line of the pair has yet
             for p in row["at"]:
                 later[p] = line
                 words[p] = row["words"]

@@ -192,6 +192,61 @@ def test_alignment_is_in_order():
     assert line_dedup.aligned({0: 1, 1: 1}, {0: 1, 1: 1}) == [0, 1]
 
 
+def common_passages(rows, least):
+    """The texts without what lies in a passage of that many words that an earlier document has too, line by line."""
+    split = [[x for x in t.split("\n") if x.split()] for _, t in rows]
+    had, out = set(), []
+    for lines in split:
+        gone, own = set(), set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                passage = tuple(lines[a:b])
+                if sum(len(x.split()) for x in passage) >= least:
+                    own.add(passage)
+                    if passage in had:
+                        gone.update(range(a, b))
+        had |= own
+        out.append([x for i, x in enumerate(lines) if i not in gone])
+    return out
+
+
+def passage(n, start):
+    """Lines of six words, of n words in all."""
+    return "\n".join(line(6, f"{start}{i}_") for i in range(n // 6))
+
+
+def test_line_dedup_crossed_and_repeated_passages(spark):
+    p, q, r = passage(60, "p"), passage(54, "q"), passage(30, "r")
+    own = [line(8, f"own{i}_") for i in range(12)]
+    rows = [
+        (1, f"{p}\n{own[0]}\n{q}\n{r}"),
+        (2, f"{q}\n{p}"),  # crossed
+        (3, f"{own[1]}\n{q}\n{p}\n{own[2]}"),
+        (4, f"{r}\n{p}\n{own[3]}\n{p}\n{own[4]}"),  # twice in the later document, beside a line that is unique
+        (5, f"{own[5]}\n{own[6]}\n{own[7]}\n{own[5]}\n{own[6]}\n{own[7]}\n{own[8]}"),  # twice in the holder; short lines
+        (6, f"{own[8]}\n{own[9]}\n{own[5]}\n{own[6]}\n{own[7]}\n{own[8]}"),
+        (7, "\n".join(reversed(p.split("\n")))),  # lines, but no passage
+    ]
+    out = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert out[1] == rows[0][1].split("\n") and out[5] == rows[4][1].split("\n") and out[7] == rows[6][1].split("\n")
+    assert out[2] == [""] and out[3] == [own[1], own[2]] and out[4] == [own[3], own[4]] and out[6] == [own[8], own[9]]
+
+
+def test_line_dedup_leaves_no_passage_of_an_earlier_document(spark):
+    rng = random.Random(11)
+    pool = [line(rng.choice([2, 5, 9, 14]), f"z{i}_") for i in range(14)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(60)]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    for (i, _), kept in zip(rows, common_passages(rows, 25), strict=True):
+        assert not Counter(x for x in out[i].split("\n") if x) - Counter(kept)
+
+
+def test_left_over_lines_go_in_runs():
+    """Crossed and repeated lines are aligned in runs of their own, in the order of the earlier document."""
+    later, earlier = {0: 3, 1: 1, 2: 2, 3: 1, 4: 2}, {0: 1, 1: 7, 2: 2, 3: 3}
+    assert line_dedup.left_over(later, earlier, [0]) == [[1, 2], [3, 4]]
+
+
 # ---- toxicity -------------------------------------------------------------------------------------------------------
 
 
