@@ -18,8 +18,9 @@ windows, and these cover it, whatever else they have and however often they have
 
 Documents are ordered by id (null last), rows of one id by a key of their text.
 
-Defined results: lines are what lies between line feeds, and blank lines are never
-shared; a null or empty text has none and stays as it is; repeated rows are one document
+Defined results: lines are what lies between line feeds; lines without words are never
+shared, neither end a block nor count in it, and go where they lie between lines that go;
+a null or empty text has none and stays as it is; repeated rows are one document
 and are treated alike; all columns pass through, and n_chars, where there is one, follows
 the text of the documents that lose lines.
 """
@@ -56,6 +57,7 @@ def windows(words: list[int], least: int) -> list[tuple[int, int]]:
 def shared_lines(docs: DataFrame, least: int) -> DataFrame:
     """(h, id, key, at, words): a row for each document and distinct line with a word, with the places of the line.
 
+    A place is the number of the line among those with words, and in the lower 32 bits its number among all.
     Windows of several lines have rows too, with the places they start at and their number of lines, negated, as words.
     """
 
@@ -64,28 +66,26 @@ def shared_lines(docs: DataFrame, least: int) -> DataFrame:
             h, ids, keys, at, words = [], [], [], [], []
             for i, key, text in zip(part.column("id").to_pylist(), part.column("key").to_pylist(), part.column("text").to_pylist(), strict=True):
                 places: dict[tuple[bytes, int], list[int]] = {}
-                runs: list[list[tuple[int, bytes, int]]] = [[]]
-                for p, line in enumerate((text or "").split("\n")):
+                lines: list[tuple[int, bytes, int]] = []
+                for place, line in enumerate((text or "").split("\n")):
                     if n := len(_WORDS.findall(line)):
                         digest = xxhash.xxh3_128_digest(line.encode())
+                        p = len(lines) << 32 | place
                         places.setdefault((digest, n), []).append(p)
-                        runs[-1].append((p, digest, n))
-                    elif runs[-1]:
-                        runs.append([])
-                for lines in runs:
-                    for a, b in windows([n for _, _, n in lines], least):
-                        digest = xxhash.xxh3_128_digest(b"".join(x for _, x, _ in lines[a:b]))
-                        places.setdefault((digest, a - b), []).append(lines[a][0])
+                        lines.append((p, digest, n))
+                for a, b in windows([n for _, _, n in lines], least):
+                    digest = xxhash.xxh3_128_digest(b"".join(x for _, x, _ in lines[a:b]))
+                    places.setdefault((digest, a - b), []).append(lines[a][0])
                 for (digest, n), ps in places.items():
                     h.append(digest)
                     ids.append(i)
                     keys.append(key)
                     at.append(ps)
                     words.append(n)
-            yield pa.RecordBatch.from_pydict({"h": pa.array(h, pa.binary()), "id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64()), "at": pa.array(at, pa.list_(pa.int32())), "words": pa.array(words, pa.int32())})
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h, pa.binary()), "id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64()), "at": pa.array(at, pa.list_(pa.int64())), "words": pa.array(words, pa.int32())})
 
     source = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), text_key().alias("key"), "text")
-    return source.mapInArrow(run, "h binary, id long, key long, at array<int>, words int")
+    return source.mapInArrow(run, "h binary, id long, key long, at array<long>, words int")
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -193,6 +193,7 @@ def deletions(docs: DataFrame, block_words: int = 25) -> DataFrame:
         taken: set[int] = set()
         common: set[int] = set()  # places of blocks that stand by themselves
         words: dict[int, int] = {}
+        lies: dict[int, int] = {}  # the place of a line with words among all lines
         line = 0
 
         def end_pair() -> None:
@@ -207,14 +208,16 @@ def deletions(docs: DataFrame, block_words: int = 25) -> DataFrame:
         def end_doc() -> None:
             end_pair()
             if doc is not None and (gone := common.union(blocks(taken, words, block_words))):
-                flags = [False] * (max(gone) + 1)
+                flags = [False] * (lies[max(gone)] + 1)
                 for p in gone:
-                    flags[p] = True
+                    for x in range(lies[p - 1] + 1 if p - 1 in gone else lies[p], lies[p] + 1):
+                        flags[x] = True
                 for c, v in zip(found, (*doc, flags), strict=True):
                     found[c].append(v)
             taken.clear()
             common.clear()
             words.clear()
+            lies.clear()
 
         def batch() -> pa.RecordBatch:
             out = pa.RecordBatch.from_pydict({"id": pa.array(found["id"], pa.int64()), "key": pa.array(found["key"], pa.int64()), "gone": pa.array(found["gone"], pa.list_(pa.bool_()))})
@@ -232,15 +235,17 @@ def deletions(docs: DataFrame, block_words: int = 25) -> DataFrame:
                 end_pair()
                 pair = other
             if row["words"] < 0:
-                for p in row["at"]:
-                    common.update(range(p, p - row["words"]))
+                for v in row["at"]:
+                    common.update(range(v >> 32, (v >> 32) - row["words"]))
                 continue
             line += 1  # a number that no line of the pair has yet
-            for p in row["at"]:
+            for v in row["at"]:
+                p = v >> 32
                 later[p] = line
                 words[p] = row["words"]
-            for p in row["first_at"]:
-                earlier[p] = line
+                lies[p] = v & 0xFFFFFFFF
+            for v in row["first_at"]:
+                earlier[v >> 32] = line
         end_doc()
         yield batch()
 

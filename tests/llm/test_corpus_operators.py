@@ -241,6 +241,21 @@ def test_line_dedup_leaves_no_passage_of_an_earlier_document(spark):
         assert not Counter(x for x in out[i].split("\n") if x) - Counter(kept)
 
 
+def test_line_dedup_passes_over_blank_lines(spark):
+    paragraphs = [line(20, f"y{i}_") for i in range(10)]
+    short = [line(4, f"s{i}_") for i in range(8)]
+    rows = [
+        (1, "title\n\n" + "\n\n".join(paragraphs) + "\n\nend\n\n" + "\n".join(short)),
+        (2, "\n\nother\n\n" + "\n\n".join(paragraphs) + "\n\nlast\n"),
+        (3, "\n \t\n".join(paragraphs)),  # without words, but not empty
+        (4, "\n\n".join(paragraphs[:1]) + "\n\n\nown words\n\n" + paragraphs[5]),  # too short
+        (5, "x\n" + "\n\n\n".join(short) + "\ny"),
+    ]
+    out = {r.doc_id: (r.text, r.n_gone) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert out[1] == (rows[0][1], 0) and out[4] == (rows[3][1], 0)
+    assert out[2] == ("\n\nother\n\n\nlast\n", 19) and out[3] == ("", 19) and out[5] == ("x\ny", 22)
+
+
 def test_left_over_lines_go_in_runs():
     """Crossed and repeated lines are aligned in runs of their own, in the order of the earlier document."""
     later, earlier = {0: 3, 1: 1, 2: 2, 3: 1, 4: 2}, {0: 1, 1: 7, 2: 2, 3: 3}
