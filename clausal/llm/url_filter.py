@@ -1,7 +1,9 @@
 """URL filtering by association rules.
 
 Every URL becomes a set of tokens: its scheme, host labels and suffixes, path words and
-query keys. FP-growth over the labelled URLs mines frequent token combinations; with the
+query keys, all of them. Tokens too rare among the blocked URLs for any rule go before
+mining, and tokens that stand in the same labelled URLs are mined as one, as their number
+of combinations would grow without bound. FP-growth over the labelled URLs mines frequent token combinations; with the
 label as a token of its own, rules "combination => blocked" come with their confidence.
 Rules are pruned by support and confidence, and where a part of a combination is already
 as sure. An inverted index from a rule's rarest token to the rule matches them.
@@ -17,11 +19,14 @@ written rule, and is judged by its few tokens; URLs repeat freely; labels other
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import product
 
 import pyarrow as pa
+import xxhash
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +36,8 @@ Rule = tuple[str, str, str]
 
 _BLOCKED = "\x00blocked"
 
+LAST = (1 << 63) - 1
+
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 
 
@@ -45,17 +52,28 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def host_suffixes(labels: list[str]) -> list[str]:
+    """The suffixes of a host of two labels or more, the longest last; those too long for a host name as digests."""
+    out, suffix = [], labels[-1]
+    for label in reversed(labels[:-1]):
+        suffix = f"{label}.{suffix}"
+        if len(suffix) > 253:
+            suffix = "#" + xxhash.xxh3_128_hexdigest(suffix.encode())
+        out.append(suffix)
+    return out
+
+
 def tokens(url: str | None) -> list[str]:
-    """The distinct tokens of a URL, at most 40: long URLs keep the first of each kind."""
+    """The distinct tokens of a URL."""
     head, mark, rest = (url or "").partition("://")
     host, path, query = re.fullmatch(r"([^/?#]*)([^?#]*)(.*)", rest if mark else head, re.DOTALL).groups()
     labels = host.lower().split(".")
     out = [f"scheme:{head.lower()}"] if mark else []
-    out += [f"host:{'.'.join(labels[i:])}" for i in range(len(labels) - 1)][-6:]
-    out += [f"label:{w}" for label in labels for w in _WORD.findall(label)][:12]
-    out += [f"path:{w if w.isalpha() else '0' * min(len(w), 9)}" for w in _WORD.findall(path.lower())][:12]
-    out += [f"key:{k.partition('=')[0]}" for k in re.split("[?&#]", query.lower()) if k][:8]
-    return list(dict.fromkeys(out))[:40]
+    out += [f"host:{h}" for h in host_suffixes(labels)]
+    out += [f"label:{w}" for label in labels for w in _WORD.findall(label)]
+    out += [f"path:{w if w.isalpha() else '0' * min(len(w), 9)}" for w in _WORD.findall(path.lower())]
+    out += [f"key:{k.partition('=')[0]}" for k in re.split("[?&#]", query.lower()) if k]
+    return list(dict.fromkeys(out))
 
 
 def written_rule(host: str, path: str, rules: dict[str, list[tuple[str, str, str]]]) -> tuple[str, str] | None:
@@ -68,22 +86,45 @@ def written_rule(host: str, path: str, rules: dict[str, list[tuple[str, str, str
 def mined_rules(urls: DataFrame, labels: DataFrame, min_support: float, min_confidence: float, most_tokens: int, min_rows: int) -> list[tuple[tuple[str, ...], float]]:
     """(tokens, confidence) of the rules for blocking, from urls (id, url) and labels (id, blocked).
 
-    Their number doesn't grow with the data: with support s and at most 40 tokens a URL,
-    at most 40 / s tokens are frequent, and combinations are of `most_tokens` at most.
+    Their number doesn't grow with the data: with support s and t tokens a URL in the mean,
+    at most t / s tokens are frequent, and combinations are of `most_tokens` at most.
     """
     kept = labels.filter("id is not null and blocked in (0, 1)").groupBy("id").agg(F.max("blocked").alias("blocked"))
     marked = urls.join(kept, "id").select("url", "blocked")
+    total = marked.count()
+    if not total:
+        return []
+    support = max(min_support, min(1.0, min_rows / total))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: dict[str, list] = {"token": [], "n": [], "hits": [], "low": [], "high": []}
+            for u, n, hits in zip(b.column("url").to_pylist(), b.column("n").to_pylist(), b.column("hits").to_pylist(), strict=True):
+                digest = xxhash.xxh3_128_intdigest(repr(u).encode())
+                have = tokens(u)
+                found["token"] += have
+                for c, v in (("n", n), ("hits", hits), ("low", digest & LAST), ("high", digest >> 65)):
+                    found[c] += [v] * len(have)
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.string() if c == "token" else pa.int64()) for c, v in found.items()})
+
+    # what a rule needs at least of each of its tokens; equal digests stand for the same URLs
+    each = marked.groupBy("url").agg(F.count("*").alias("n"), F.sum(F.col("blocked").cast("long")).alias("hits")).mapInArrow(counted, "token string, n long, hits long, low long, high long")
+    able = each.groupBy("token").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.bit_xor("low").alias("low"), F.bit_xor("high").alias("high")).filter(F.col("hits") >= math.ceil(support * total))
+    alike: dict[tuple[int, ...], list[str]] = {}
+    for r in able.collect():
+        alike.setdefault((r["n"], r["hits"], r["low"], r["high"]), []).append(r["token"])
+    if not alike:
+        return []
+    members = {min(ts): sorted(ts) for ts in alike.values()}
+    stands = {t: first for first, ts in members.items() for t in ts}
 
     def baskets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            items = [tokens(u) + [_BLOCKED] * y for u, y in zip(b.column("url").to_pylist(), b.column("blocked").to_pylist(), strict=True)]
+            items = [list({stands[t] for t in tokens(u) if t in stands}) + [_BLOCKED] * y for u, y in zip(b.column("url").to_pylist(), b.column("blocked").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"items": pa.array(items, pa.list_(pa.string()))})
 
     items = marked.select("url", F.col("blocked").cast("int")).mapInArrow(baskets, "items array<string>")
-    total = items.count()
-    if not total:
-        return []
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min(1.0, min_rows / total)), minConfidence=min_confidence).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
     sets = model.freqItemsets.filter(F.size("items") <= most_tokens + 1).select("items", "freq")
     blocked = sets.filter(F.array_contains("items", _BLOCKED)).select(F.array_sort(F.array_remove("items", _BLOCKED)).alias("k"), F.col("freq").alias("hits")).filter(F.size("k") > 0)
     every = sets.filter(~F.array_contains("items", _BLOCKED)).select(F.array_sort("items").alias("k"), "freq")
@@ -93,7 +134,7 @@ def mined_rules(urls: DataFrame, labels: DataFrame, min_support: float, min_conf
     def implied(k: tuple[str, ...]) -> bool:
         return any(found.get(k[:i] + k[i + 1 :], 0) >= found[k] for i in range(len(k)))
 
-    return sorted((k, c) for k, c in found.items() if not implied(k))
+    return sorted((tuple(sorted(ts)), c) for k, c in found.items() if not implied(k) for ts in product(*(members[t] for t in k)))
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule], min_support: float = 0.001, min_confidence: float = 0.6, most_tokens: int = 3, min_rows: int = 8) -> DataFrame:

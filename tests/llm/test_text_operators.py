@@ -1,6 +1,7 @@
 """Operators on single texts: PII, chat, URL filter, BPE, repetition."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -162,6 +163,41 @@ def test_url_mining(spark):
     assert mined and all(len(k) == 2 for k, _ in mined)
 
 
+def test_url_mining_of_long_urls(spark):
+    """A token far back in a long path, query or host is mined and matched, and long URLs that repeat don't stop mining."""
+    slug = "/".join("abcdefghijklmnop")
+    keys = "&".join(f"{k}=1" for k in "abcdefghijklmnop")
+    bad = [f"http://w{{}}.net/{slug}/casino", f"http://w{{}}.net/?{keys}&casino=1", "http://bad.w{}.a.b.c.d.e.f.net/"]
+    rows = [(i, (bad[i % 6 // 2] if i % 2 else bad[i % 6 // 2].replace("casino", "garden").replace("bad", "good")).format(f"q{chr(97 + i % 26)}{i}")) for i in range(240)]
+    rows += [(i, "http://same.net/" + "/".join(f"{a}{b}" for a in "qrstuvwx" for b in "abcdefgh")) for i in range(300, 330)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = pages.selectExpr("page_id", "cast(url like '%casino%' or url like '%bad%' or url like '%same%' as int) as blocked").filter("page_id % 5 <> 0")
+    got = {r.page_id: r.verdict for r in url_filter.judged(pages, labels, []).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {i for i, _ in rows if i % 2 or i >= 300}
+    assert "host:a.b.c.d.e.f.g.h.i.net" in url_filter.tokens("http://a.b.c.d.e.f.g.h.i.net/")
+
+
+def test_url_rules_of_alike_tokens_equal_brute_force(spark):
+    """Tokens mined as one give the rules that they give one by one."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(120):
+        words = [w for w in ("red", "green", "blue", "pink", "grey") if rng.random() < 0.5]
+        words += ["twin", "twain"] if rng.random() < 0.5 else []
+        rows.append((i, "http://h/" + "/".join(words), int("twin" in words and "red" in words or rng.random() < 0.2)))
+    urls, labels = spark.createDataFrame([r[:2] for r in rows], "id long, url string"), spark.createDataFrame([(i, y) for i, _, y in rows], "id long, blocked int")
+    sets = [(frozenset(url_filter.tokens(u)), y) for _, u, y in rows]
+    found = {}
+    for n in (1, 2, 3):
+        for k in itertools.combinations(sorted(set().union(*(s for s, _ in sets))), n):
+            fits = [y for s, y in sets if s.issuperset(k)]
+            if sum(fits) >= 8 and sum(fits) >= 0.6 * len(fits):
+                found[k] = sum(fits) / len(fits)
+    want = sorted((k, c) for k, c in found.items() if not any(found.get(k[:i] + k[i + 1 :], 0) >= c for i in range(len(k))))
+    assert want and any("path:twain" in k for k, _ in want)
+    assert url_filter.mined_rules(urls, labels, 0.001, 0.6, 3, 8) == want
+
+
 # ---- BPE -----------------------------------------------------------------------------------------------------------
 
 
