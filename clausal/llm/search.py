@@ -75,7 +75,10 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def packed_shard(ids: list[int | None], docs: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, bytes]:
-    """A shard's arrays: ids and lengths by document, then terms, the end of each term's postings, their documents and counts."""
+    """A shard's arrays: ids and lengths by document, then terms, the end of each term's postings, their documents and counts.
+
+    Counts take 16 bits; the postings with greater ones, and these, are listed in `more`.
+    """
     sizes = np.array([len(t) for t, _ in docs], dtype=np.int64)
     terms = np.concatenate([t for t, _ in docs]) if docs else np.zeros(0, dtype=np.uint64)
     counts = np.concatenate([c for _, c in docs]) if docs else np.zeros(0, dtype=np.int64)
@@ -92,16 +95,18 @@ def packed_shard(ids: list[int | None], docs: list[tuple[np.ndarray, np.ndarray]
     new = np.empty(len(docs), dtype=np.int64)
     new[order] = np.arange(len(docs))
     by = np.lexsort((new[owner], number))
+    counts = counts[by].astype(np.int64)
+    more = np.flatnonzero(counts > 65535)
     lengths = np.array([int(c.sum()) for _, c in docs], dtype=np.int32)
     return {
         "ids": np.array([LAST if i is None else i for i in ids], dtype=np.int64)[order].tobytes(), "lengths": lengths[order].tobytes(),
-        "terms": distinct.tobytes(), "ends": np.cumsum(df).astype(np.int32).tobytes(), "docs": new[owner][by].astype(np.uint16).tobytes(), "counts": np.minimum(counts[by], 65535).astype(np.uint16).tobytes(),
+        "terms": distinct.tobytes(), "ends": np.cumsum(df).astype(np.int32).tobytes(), "docs": new[owner][by].astype(np.uint16).tobytes(), "counts": np.minimum(counts, 65535).astype(np.uint16).tobytes(), "more": np.concatenate([more, counts[more]]).astype(np.int64).tobytes(),
     }
 
 
 def indexed(docs: DataFrame) -> DataFrame:
     """One row for each shard of (doc_id, text)."""
-    names = ["ids", "lengths", "terms", "ends", "docs", "counts"]
+    names = ["ids", "lengths", "terms", "ends", "docs", "counts", "more"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int | None] = []
@@ -159,6 +164,8 @@ class Shard:
         self.start, self.df = np.r_[0, ends[:-1]], np.diff(ends, prepend=0)
         self.docs = np.frombuffer(row["docs"], dtype=np.uint16).astype(np.int32)
         tf = np.frombuffer(row["counts"], dtype=np.uint16).astype(np.float64)
+        at, counts = np.frombuffer(row["more"], dtype=np.int64).reshape(2, -1)
+        tf[at] = counts
         lengths = np.frombuffer(row["lengths"], dtype=np.int32)
         norm = K1 * (1 - B + B * lengths / max(mean, 1e-9))
         self.gain = tf * (K1 + 1) / (tf + norm[self.docs])  # a posting's score but for the idf

@@ -428,6 +428,19 @@ def test_search_equals_brute_force(spark, monkeypatch, shard, block, frequent):
     assert search.top_k(frame(spark, []), frame(spark, [], "query_id long, text string")).count() == 0
 
 
+def test_search_counts_words_beyond_16_bits(spark):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, 40, 300)) for i in range(300)] + [(400, "spam " * 500_000 + "ham " * 500_000), (401, "spam " * 65_536 + "w1"), (402, "spam w1")]
+    queries = [(1, "spam ham"), (2, "spam"), (3, "w1 ham")]
+    got: dict = {}
+    for r in search.top_k(frame(spark, rows), frame(spark, queries, "query_id long, text string"), 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.doc_id, r.score))
+    for q, want in bm25(rows, queries, 5).items():
+        mine = sorted(got[q])
+        assert [i for _, i, _ in mine] == [i for _, i in want]
+        assert all(abs(s + t) < 1e-6 for (_, _, s), (t, _) in zip(mine, want, strict=True))
+
+
 # ---- pipeline --------------------------------------------------------------------------------------------------------------------
 
 
