@@ -45,9 +45,20 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = S
             yield batch.slice(start)
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Column names made from the given ones that docs doesn't have, whatever the case."""
+    have, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while (n := f"_{n}").lower() in have:
+            pass
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 def text_key(column: str = "text") -> F.Column:
     """A 64-bit key of a text that tells apart rows which share an id; null has its own."""
     return F.xxhash64(F.col(column), F.col(column).isNull())
 
 
-__all__ = ["SLICE_CHARS", "WORD", "dropped", "released", "shared_dir", "slices", "table", "text_key", "written"]
+__all__ = ["SLICE_CHARS", "WORD", "dropped", "released", "shared_dir", "slices", "table", "text_key", "unused", "written"]

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from clausal.llm.common import dropped, written
 
 
+def fingerprint(edges: DataFrame) -> tuple:
+    """Of a set of edges: their number, and sums that any other set almost surely has not; a round that changes edges lowers b somewhere."""
+    mixed = F.xxhash64("a", "b")
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(mixed.cast("decimal(38,0)")), F.bit_xor(mixed)).first())
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label) of all nodes with an edge; label is the least node of the component. `edges` has columns a and b (long).
 
@@ -17,6 +23,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     the last is kept. No group is ever gathered: a step aggregates a minimum and joins it.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    mark = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -26,12 +33,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = down.join(least, "a")
         small = small.select(F.col("a"), F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         then = written(small, "edges")
-        done = then.count() == now.count() and then.exceptAll(now).isEmpty()
         dropped(now)
-        now = then
-        if done:
+        now, before, mark = then, mark, fingerprint(then)
+        if before == mark:
             break
     else:
         raise RuntimeError(f"components have not settled in {most_rounds} rounds")
     labels = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return labels.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    labels = labels.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    labels._clausal_path = now._clausal_path  # so that dropped() deletes what they are read from
+    return labels

@@ -7,17 +7,21 @@ of its bits. Sketches differ in at most as many bits as sets differ in elements.
 reach the threshold differ in at most d elements, so at least m - d parts are untouched
 and equal; documents meet in the buckets of equal parts. Parts of a few shingles say
 little; a document files them only if it has m - d of them or more, as otherwise a strong
-part is among the untouched ones anyway. A class in fewer shared buckets than any link takes is out.
+part is among the untouched ones anyway. Of the buckets that a set is filed in, the most
+common ones go, one fewer than any link shares: two linked sets still meet in one that stays.
 
-Documents of equal sets form a class beforehand, of which one row goes on. In a bucket
-every class is first compared with hubs, a few classes of the bucket. Verified links
-give components. What is still apart in a bucket, across components, passes a test on a
-whole-set sketch of fixed width and is verified pair by pair, so that no link between
-components is lost, while a group of copies costs one comparison a member.
+Documents of equal sets form a class, of which one row goes on. In a bucket every class is
+first compared with hubs, a few classes of the bucket. Verified links give components.
+What is still apart in a bucket, across components, passes a test on a whole-set sketch of
+fixed width and is verified pair by pair, so that no link between components is lost,
+while a group of copies costs one comparison a member. Large buckets that are still open
+are split by sketches of other seeds before their members are paired.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; with
 fewer words than a shingle has, the whole word sequence is the one element; repeated rows
-share a class; a null id counts as greater than all others.
+share a class; a null id counts as greater than all others; a very long text has one set
+like any other, in a band of its size; an empty table gives no rows; other columns don't
+matter to link_groups, and keep_one returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausal.llm.common import WORD, dropped, released, slices, text_key, written
+from clausal.llm.common import WORD, dropped, released, slices, text_key, unused, written
 from clausal.llm.components import components
 
 _WORDS = re.compile(WORD.encode())
@@ -46,6 +51,18 @@ BAND = 1.5
 #: 64-bit words of the whole-set sketch by which far pairs of a bucket are told apart.
 WIDE = 16
 
+#: Passes over the buckets: shuffles hold about so small a part of them at a time.
+PASSES = 4
+
+#: Members from which on an open bucket is split by sketches of other seeds, and how many seeds are tried.
+LARGE, SEEDS = 64, 3
+
+#: Digests of sets that a task remembers, so as to file equal ones once.
+SEEN = 200_000
+
+#: The bitmap of wanted documents has 2**BITMAP bits (32 MiB) at most.
+BITMAP = 28
+
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -132,52 +149,133 @@ def wide_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.uint64)
 
 
+def filed(s: np.ndarray, own: int, bands: list[tuple[int, int, int, int]], percent: int, strong: int, seed: int = 0) -> list[tuple[np.ndarray, int]]:
+    """(bucket keys, shared at least) of a set for its own band and for the next one."""
+    out = []
+    t = mixed(s ^ np.uint64(seed)) if seed else s
+    for b in (own, own + 1):
+        lo, _, d, m = bands[b]
+        if not len(s) or not d or b > own and 100 * len(s) < percent * lo:
+            out.append((np.zeros(0, dtype=np.uint64), len(s) + 1))  # only equal sets are near, or no set of the next band is near enough
+            continue
+        numbers, parity, counts, need = parts_of(t, b, d, m, strong)
+        head = np.full(len(numbers), b, dtype=np.uint64) << np.uint64(48)
+        out.append((mixed(mixed(head + numbers.astype(np.uint64)) + parity * _M3 + counts.astype(np.uint64)), need))
+    return out
+
+
 def sketched(docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """(doc_id, key, sig, n, need, keys) of every row: its text key, the digest and size of its set, the buckets to file it in, and how many of them a linked set shares at least."""
+    """A row for every row of docs: (doc_id, key, sig, h, n), its text key, the digest of its set, 63 bits of that, and the set's size; then where it is filed.
+
+    `need0` and `need1` are the numbers of buckets that a linked set shares at least in the
+    own band and in the next; k0, k1, .. are the buckets, a column for each pass, and c0,
+    c1, .. say how many of these belong to the own band. Of the rows of a task that have
+    equal sets only one is filed.
+    """
     bands, strong = band_plan(percent), strong_from(percent)
     lows = np.array([b[0] for b in bands])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(k)
+        shingler, seen = Shingler(k), set()
         for part in slices(batches):
-            keys, sizes, sigs, needs = [], [], [], []
-            for s in shingler.sets(part.column("text").to_pylist()):
+            sizes, sigs, needs, keys, owner, slot = [], [], ([], []), [], [], []
+            for i, s in enumerate(shingler.sets(part.column("text").to_pylist())):
                 sizes.append(len(s))
                 sigs.append(xxhash.xxh3_128_digest(s.tobytes()))
-                own = int(np.searchsorted(lows, len(s), side="right")) - 1
-                found, least = [np.zeros(0, dtype=np.uint64)], len(s) + 1
-                for b in (own, own + 1) if len(s) else ():
-                    lo, _, d, m = bands[b]
-                    if not d or b > own and 100 * len(s) < percent * lo:
-                        continue  # only equal sets are near, or no set of the next band is near enough
-                    numbers, parity, counts, need = parts_of(s, b, d, m, strong)
-                    least = min(least, need)
-                    head = np.full(len(numbers), b, dtype=np.uint64) << np.uint64(48)
-                    found.append(mixed(mixed(head + numbers.astype(np.uint64)) + parity * _M3 + counts.astype(np.uint64)))
-                keys.append(np.concatenate(found).view(np.int64))
-                needs.append(least)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": part.column("doc_id"), "key": part.column("key"), "sig": pa.array(sigs, pa.binary()), "n": pa.array(sizes, pa.int64()), "need": pa.array(needs, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())),
-            })
+                new = len(s) and sigs[-1] not in seen
+                if new:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(sigs[-1])
+                where = filed(s, int(np.searchsorted(lows, len(s), side="right")) - 1, bands, percent, strong) if new else [(np.zeros(0, dtype=np.uint64), 1)] * 2
+                for j, (found, need) in enumerate(where):
+                    needs[j].append(need)
+                    keys.append(found)
+                    owner.append(np.full(len(found), i))
+                    slot.append(np.full(len(found), j))
+            key, own, which = np.concatenate(keys), np.concatenate(owner).astype(np.int64), np.concatenate(slot)
+            out = {
+                "doc_id": part.column("doc_id"), "key": part.column("key"), "sig": pa.array(sigs, pa.binary()),
+                "h": pa.array(np.frombuffer(b"".join(sigs), dtype=np.int64)[::2] & ~1), "n": pa.array(sizes, pa.int64()), "need0": pa.array(needs[0], pa.int32()), "need1": pa.array(needs[1], pa.int32()),
+            }
+            for p in range(PASSES):
+                mine = key % np.uint64(PASSES) == p
+                counts = np.bincount(own[mine], minlength=len(sizes))
+                ends = np.r_[0, np.cumsum(counts)].astype(np.int32)
+                out[f"c{p}"] = pa.array(np.bincount(own[mine & (which == 0)], minlength=len(sizes)), pa.int32())
+                out[f"k{p}"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[mine].view(np.int64)))
+            yield pa.RecordBatch.from_pydict(out)
+
+    schema = "doc_id long, key long, sig binary, h long, n long, need0 int, need1 int, " + ", ".join(f"c{p} int, k{p} array<long>" for p in range(PASSES))
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text").mapInArrow(run, schema)
+
+
+def met_in_buckets(full: DataFrame) -> list[DataFrame]:
+    """(bucket, cnt, slot, need), a table for each pass: the members of all buckets that hold two sets or more.
+
+    A slot is a set in a band: `h`, plus one for the next band. Buckets are counted by a
+    hash aggregate, whose rows of one bucket combine before the shuffle, and only members
+    of repeated buckets come out of the join; the passes bound the disk that shuffles hold.
+    """
+    parts = []
+    for p in range(PASSES):
+        rows = full.select("h", "need0", "need1", f"c{p}", F.posexplode(f"k{p}").alias("pos", "bucket"))
+        after = F.col("pos") >= F.col(f"c{p}")
+        rows = rows.select("bucket", (F.col("h") + after.cast("long")).alias("slot"), F.when(after, F.col("need1")).otherwise(F.col("need0")).alias("need"))
+        ends = rows.groupBy("bucket").agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.count(F.lit(1)).alias("cnt")).filter("lo < hi").select("bucket", "cnt")
+        parts.append(written(rows.join(ends, "bucket").select("bucket", "cnt", "slot", "need"), "buckets"))
+        del rows, ends
+        released(full.sparkSession)
+    return parts
+
+
+def rarest(met: DataFrame) -> DataFrame:
+    """(bucket, slot): of each slot's buckets all but the `need` - 1 most common ones.
+
+    Two linked sets share `need` buckets or more, so they share one of those left, whatever
+    the order, as long as it is the same for all. A slot has as many rows as its set has parts.
+    """
+    once = met.groupBy("slot", "bucket").agg(F.first("cnt").alias("cnt"), F.first("need").alias("need"))
+    place = Window.partitionBy("slot").orderBy(F.desc("cnt"), F.desc("bucket"))
+    return once.withColumn("place", F.row_number().over(place)).filter("place >= need").select("bucket", "slot")
+
 
-    return docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, sig binary, n long, need long, keys array<long>")
+def held_ids(wanted: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """A bitmap of the ids and text keys of wanted (cid, rkey), in rows of 4 KiB, and its bits: at most 2**BITMAP of them."""
+    bits = 1 << min(BITMAP, max(20, (16 * n).bit_length()))
+    spot = F.pmod(F.xxhash64("cid", "rkey"), F.lit(bits))
+    return wanted.groupBy(F.bitmap_bucket_number(spot).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bitmap")), bits
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(nid, n, items, wide) of the wanted classes (nid, cid, sig), from the texts of their first rows."""
-    found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("cid"))).select("nid", "sig", "text")
+    """(nid, n, items, wide) of the wanted classes (nid, cid, rkey, sig), from the texts of their first rows.
+
+    A bitmap of fixed size at most goes to all tasks, so that hardly any other texts are
+    read, and only sets are shuffled, not texts.
+    """
+    bitmap, bits = held_ids(wanted, wanted.count())
+    spot = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text_key()), F.lit(bits))
+    near = docs.select("text", F.bitmap_bucket_number(spot).alias("chunk"), F.bitmap_bit_position(spot).alias("at")).join(F.broadcast(bitmap), "chunk")
+    found = near.filter("shiftright(cast(conv(hex(substring(bitmap, cast(at div 8 as int) + 1, 1)), 16, 10) as int), cast(at % 8 as int)) & 1 = 1").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(k)
+        shingler, seen = Shingler(k), set()
         for part in slices(batches):
-            rows = [(i, s) for i, sig, s in zip(part.column("nid").to_pylist(), part.column("sig").to_pylist(), shingler.sets(part.column("text").to_pylist()), strict=True) if xxhash.xxh3_128_digest(s.tobytes()) == sig]
+            rows = []
+            for s in shingler.sets(part.column("text").to_pylist()):
+                sig = xxhash.xxh3_128_digest(s.tobytes())
+                if len(s) and sig not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(sig)
+                    rows.append((sig, s))
             yield pa.RecordBatch.from_pydict({
-                "nid": pa.array([i for i, _ in rows], pa.int64()), "n": pa.array([len(s) for _, s in rows], pa.int64()),
+                "sig": pa.array([sig for sig, _ in rows], pa.binary()), "n": pa.array([len(s) for _, s in rows], pa.int64()),
                 "items": pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64())), "wide": pa.array([wide_sketch(s).view(np.int64) for _, s in rows], pa.list_(pa.int64())),
             })
 
-    # equal rows of a document give equal sets, which only repeats links
-    return found.mapInArrow(run, "nid long, n long, items array<long>, wide array<long>")
+    once = found.mapInArrow(run, "sig binary, n long, items array<long>, wide array<long>").dropDuplicates(["sig"])
+    return once.join(wanted.select("sig", "nid"), "sig").select("nid", "n", "items", "wide")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -189,98 +287,143 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, nid, label) of buckets with two labels or more, with the number of members."""
+    ends = rows.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("members")).filter("least < most")
+    return rows.join(ends.select("bucket", "members"), "bucket")
+
+
+def _split(rows: DataFrame, sets: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Rows (bucket, nid, label) of large buckets, dealt to buckets within each by sketches of another seed.
+
+    Linked sets share a bucket of every seed, so none is parted from another.
+    """
+    bands, strong = band_plan(percent), strong_from(percent)
+    lows = np.array([b[0] for b in bands])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for items in batch.column("items"):
+                s = items.values.to_numpy().view(np.uint64)
+                where = filed(s, int(np.searchsorted(lows, len(s), side="right")) - 1, bands, percent, strong, seed)
+                keys.append(np.concatenate([x for x, _ in where]).view(np.int64))
+            yield pa.RecordBatch.from_pydict({"nid": batch.column("nid"), "keys": pa.array(keys, pa.list_(pa.int64()))})
+
+    own = sets.select("nid", "items").join(rows.select("nid").distinct(), "nid", "left_semi").mapInArrow(run, "nid long, keys array<long>")
+    dealt = rows.join(own, "nid").select("bucket", "nid", "label", F.explode("keys").alias("k"))
+    return dealt.select(F.xxhash64("bucket", "k").alias("bucket"), "nid", "label").distinct()
+
+
+def _across(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels in a bucket that sizes and whole-set sketches leave possible.
+
+    Buckets of more than LARGE members are split by other seeds first, so that a bucket
+    gives at most so many pairs a member, unless its members are alike under every seed.
+    """
+    todo, small, spent = open_rows, [], []
+    for seed in range(1, SEEDS + 1):
+        small.append(todo.filter(F.col("members") <= LARGE).select("bucket", "nid", "label"))
+        large = todo.filter(F.col("members") > LARGE).select("bucket", "nid", "label")
+        if large.isEmpty():
+            todo = None
+            break
+        todo = written(_open(_split(large, sets, percent, seed)), "split")
+        spent.append(todo)
+    rows = small[0]
+    for more in [*small[1:], *([todo.select("bucket", "nid", "label")] if todo is not None else [])]:
+        rows = rows.unionByName(more)
+    # sizes fall into cells one threshold wide: a set meets those of its own cell and of the next
+    sized = rows.join(sets.select("nid", "n"), "nid").withColumn("cell", F.floor(F.log(F.col("n")) / (math.log(100 / percent) * (1 + 1e-9))))
+    x = sized.select("bucket", F.explode(F.array("cell", F.col("cell") + 1)).alias("at"), F.col("nid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), "cell")
+    y = sized.select(F.col("bucket").alias("bucket_y"), F.col("cell").alias("at_y"), F.col("nid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+    once = (F.col("cell") < F.col("at_y")) | (F.col("a") < F.col("b"))
+    near = (F.col("la") != F.col("lb")) & once & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    pairs = x.join(y, (F.col("bucket") == F.col("bucket_y")) & (F.col("at") == F.col("at_y")) & near).select("a", "b").distinct()
+    wide = sets.select("nid", "n", "wide")
+    both = pairs.join(wide.select(F.col("nid").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "b")
+    apart = F.aggregate(F.zip_with("wa", "wb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, b: s + b)
+    out = written(both.filter((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
+    for frame in spent:
+        dropped(frame)
+    return out
+
+
 def link_groups(docs: DataFrame, percent: int = 80, k: int = 5, rounds: int = 6) -> DataFrame:
     """(doc_id, key, n_shingles, label, component_id) of every row: the components of all pairs with 100 |A & B| >= percent |A | B|.
 
     key is the row's text key, label a number of the component (null for an empty set),
-    component_id its least doc_id. Intermediate tables go to the shared folder.
+    component_id its least doc_id. Intermediate tables go to the shared folder and are
+    deleted after their last read; only the two that the result reads stay.
     """
+    spark = docs.sparkSession
     full = written(sketched(docs, percent, k).withColumn("nid", F.monotonically_increasing_id()), "sketches")
-    sketches = written(full.select("doc_id", "key", "sig", "n"), "rows")
+    rows = written(full.select("doc_id", "key", "sig", "n"), "rows")
     # of equal sets the row of the least id stands for all
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "nid")
-    classes = full.filter("n > 0").groupBy("sig").agg(F.min(place).alias("first"))
-    classes = written(classes.select("sig", F.col("first.nid").alias("nid"), F.col("first.doc_id").alias("cid")), "classes")
-    # members of all buckets that hold two classes or more
-    rows = full.select("nid", "need", "keys").join(classes.select("nid"), "nid", "left_semi").select("nid", "need", F.explode("keys").alias("bucket"))
-    within = Window.partitionBy("bucket")
-    met = written(rows.select("bucket", "nid", "need", F.min("nid").over(within).alias("lo"), F.max("nid").over(within).alias("hi")).filter("lo < hi").drop("lo", "hi"), "buckets")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "nid", "key")
+    classes = full.filter("n > 0").groupBy("sig").agg(F.min(place).alias("first"), F.first("h").alias("h"))
+    classes = written(classes.select("sig", "h", F.col("first.nid").alias("nid"), F.col("first.doc_id").alias("cid"), F.col("first.key").alias("rkey")), "classes")
+    met = met_in_buckets(full)
     dropped(full)
-    del rows, full
-    released(docs.sparkSession)
-    # a class in fewer shared buckets than any link takes has none
-    shared = enough(met)
-    shared = written(shared.select("bucket", "nid", "need", F.min("nid").over(within).alias("lo"), F.max("nid").over(within).alias("hi")).filter("lo < hi"), "buckets")
-    dropped(met)
+    del full
+    # from here on nodes are classes; two sets of one h, should there be any, both stand where it does
+    kept = rarest(reduce(DataFrame.unionByName, met)).withColumn("h", F.col("slot").bitwiseAND(F.lit(-2))).join(classes.select("h", "nid"), "h").select("bucket", "nid")
+    kept = written(kept, "kept")
+    for part in met:
+        dropped(part)
     del met
-    hubs = shared.select("nid", F.explode(F.array("lo", "hi")).alias("hub")).filter("nid <> hub").groupBy("nid", "hub").agg(F.count(F.lit(1)).alias("c"))
-    slim = classes.select("nid", "cid", "sig")
-    sets = written(sets_of(docs, slim.join(shared.select("nid").distinct(), "nid", "left_semi"), k), "sets")
+    ends = kept.groupBy("bucket").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).filter("lo < hi")
+    shared = written(kept.join(ends, "bucket"), "shared")
+    dropped(kept)
+    del kept, ends
+    released(spark)
+    wanted = classes.join(shared.select("nid").distinct(), "nid", "left_semi")
+    sets = written(sets_of(docs, wanted, k), "sets")
     # first round: every class against the hub with which it shares most
-    pairs = hubs.groupBy("nid").agg(F.max(F.struct("c", "hub")).alias("best")).select("nid", "best.hub")
-    released(docs.sparkSession)
-    links = written(verified(_ordered(pairs), sets, percent), "links")
+    hubs = shared.select("nid", F.explode(F.array("lo", "hi")).alias("hub")).filter("nid <> hub").groupBy("nid", "hub").agg(F.count(F.lit(1)).alias("c"))
+    pairs = hubs.groupBy("nid").agg(F.max(F.struct("c", "hub")).alias("best")).select(F.col("nid").alias("a"), F.col("best.hub").alias("b"))
+    links = written(verified(pairs, sets, percent), "links")
     labels = components(links)
-    spent = []
-    for turn in range(rounds + 1):
-        named = shared.select("bucket", "nid", "need").join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("bucket", "nid", "need", F.coalesce("label", "nid").alias("label"))
-        # a bucket is open while it holds two components; all buckets that an unseen link shares are
-        found = enough(_open(named))
-        open_rows = written(_open(found), "open")
-        spent.append(open_rows)
+    dropped(links)
+    turn = 0
+    while True:
+        named = shared.select("bucket", "nid").join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("bucket", "nid", F.coalesce("label", "nid").alias("label"))
+        # a bucket is open while it holds two components
+        open_rows = written(_open(named), "open")
         if open_rows.isEmpty():
+            dropped(open_rows)
             break
-        last = turn == rounds
-        if not last:
+        last = turn >= rounds
+        if last:
+            pairs = _across(open_rows, sets, percent)
+        else:
             # a hub of each open bucket, another one each turn; every class of another component tries one of them
             draw = F.struct(F.xxhash64(F.lit(turn), "nid").alias("h"), "nid", "label")
-            hub = open_rows.select("bucket", "nid", "label", F.min(draw).over(within).alias("hub")).filter("label <> hub.label")
-            pairs = _ordered(hub.groupBy("nid").agg(F.min("hub.nid").alias("hub"))).distinct()
-        else:
-            # each pair comes out of the first bucket that it shares, and only if it shares enough of them
-            own = open_rows.groupBy("nid").agg(F.sort_array(F.collect_list("bucket")).alias("all"))
-            w = sets.select("nid", "n", "wide").join(own, "nid")
-            x, y = (open_rows.join(w, "nid").select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("nid", "label", "need", "n", "wide", "all"))) for s in "xy")
-            apart = F.aggregate(F.zip_with("wide_x", "wide_y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, b: s + b)
-            close = (F.col("label_x") < F.col("label_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n_x") + F.col("n_y")))
-            both = F.array_intersect("all_x", "all_y")
-            first = (F.array_min(both) == F.col("bucket")) & (F.size(both) >= F.least("need_x", "need_y"))
-            pairs = x.join(y.withColumnRenamed("bucket", "bucket_y"), (F.col("bucket") == F.col("bucket_y")) & close & first).select(F.col("nid_x").alias("a"), F.col("nid_y").alias("b")).distinct()
-        pairs = written(pairs, "pairs")
+            hub = open_rows.groupBy("bucket").agg(F.min(draw).alias("hub"))
+            tries = open_rows.join(hub, "bucket").filter("label <> hub.label")
+            pairs = written(tries.groupBy("nid").agg(F.min("hub.nid").alias("hub")).select(F.col("nid").alias("a"), F.col("hub").alias("b")), "pairs")
         more = written(verified(pairs, sets, percent), "links")
         found, tried = more.count(), pairs.count()
-        spent += [pairs, more]
         if found:
-            links = written(links.unionByName(more), "links")
-            labels = components(links)
+            # the stars so far hold all that the links so far say
+            before = labels
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+            dropped(before)
+        for frame in (open_rows, pairs, more):
+            dropped(frame)
         if last:
             break
-        if found * 8 < tried:
-            rounds = turn + 1  # hubs have little more to give: all pairs of the open buckets come next
+        # where hubs have little more to give, all pairs of the open buckets come next
+        turn = rounds if found * 8 < tried else turn + 1
     named = classes.select("nid", "sig", "cid").join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("sig", "cid", F.coalesce("label", "nid").alias("label"))
     least = named.groupBy("label").agg(F.min("cid").alias("component_id"))
     by_sig = written(named.join(least, "label").select("sig", "label", "component_id"), "components")
-    out = sketches.select("doc_id", "key", "sig", F.col("n").alias("n_shingles")).join(by_sig, "sig", "left")
-    for frame in (shared, sets, *spent):
+    for frame in (labels, classes, shared, sets):
         dropped(frame)
-    return out.select("doc_id", "key", "n_shingles", "label", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-
-
-def enough(rows: DataFrame) -> DataFrame:
-    """The rows (bucket, nid, need, ..) of classes that are in as many buckets as a link shares at least."""
-    return rows.join(rows.groupBy("nid").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).filter("c >= need").select("nid"), "nid", "left_semi")
-
-
-def _open(rows: DataFrame) -> DataFrame:
-    """The rows (bucket, nid, need, label) of buckets with two labels or more."""
-    within = Window.partitionBy("bucket")
-    marked = rows.select("bucket", "nid", "need", "label", F.min("label").over(within).alias("least"), F.max("label").over(within).alias("most"))
-    return marked.filter("least < most").drop("least", "most")
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Pairs (nid, hub) as (a, b) with the member first."""
-    return pairs.select(F.col("nid").alias("a"), F.col("hub").alias("b"))
+    out = rows.select("doc_id", "key", "sig", F.col("n").alias("n_shingles")).join(by_sig, "sig", "left")
+    out = out.select("doc_id", "key", "n_shingles", "label", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out._clausal_reads = (rows, by_sig)
+    return out
 
 
 def keep_one(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
@@ -289,10 +432,14 @@ def keep_one(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     All columns stay as they are. Rows with an empty set are linked with nothing and all stay.
     """
     groups = link_groups(docs, percent, k)
+    at, key = unused(docs, "at", "key")
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "key")
-    first = groups.filter("n_shingles > 0").groupBy("label").agg(F.min(place).alias("first")).select(F.col("first.id").alias("__id"), F.col("first.key").alias("__key"))
+    first = groups.filter("n_shingles > 0").groupBy("label").agg(F.min(place).alias("first"))
+    first = written(first.select(F.col("first.id").alias(at), F.col("first.key").alias(key)), "chosen")
+    for frame in groups._clausal_reads:
+        dropped(frame)
     columns = docs.columns
-    keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit((1 << 63) - 1)), "__key": text_key()})
+    keyed = docs.withColumns({at: F.coalesce("doc_id", F.lit((1 << 63) - 1)), key: text_key()})
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    chosen = keyed.filter(worded).join(first, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
+    chosen = keyed.filter(worded).join(first, [at, key], "left_semi").dropDuplicates([at, key])
     return chosen.select(columns).unionByName(docs.filter(~worded).select(columns))
