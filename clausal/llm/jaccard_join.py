@@ -14,8 +14,7 @@ Documents of equal sets form a class, of which one row goes on. In a bucket ever
 first compared with hubs, a few classes of the bucket. Verified links give components.
 What is still apart in a bucket, across components, passes a test on a whole-set sketch of
 fixed width and is verified pair by pair, so that no link between components is lost,
-while a group of copies costs one comparison a member. Large buckets that are still open
-are split by sketches of other seeds before their members are paired.
+while a group of copies costs one comparison a member.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; with
 fewer words than a shingle has, the whole word sequence is the one element; repeated rows
@@ -54,9 +53,6 @@ WIDE = 16
 #: Passes over the buckets: shuffles hold about so small a part of them at a time.
 PASSES = 4
 
-#: Members from which on an open bucket is split by sketches of other seeds, and how many seeds are tried.
-LARGE, SEEDS = 64, 3
-
 #: Digests of sets that a task remembers, so as to file equal ones once.
 SEEN = 200_000
 
@@ -149,16 +145,15 @@ def wide_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.uint64)
 
 
-def filed(s: np.ndarray, own: int, bands: list[tuple[int, int, int, int]], percent: int, strong: int, seed: int = 0) -> list[tuple[np.ndarray, int]]:
+def filed(s: np.ndarray, own: int, bands: list[tuple[int, int, int, int]], percent: int, strong: int) -> list[tuple[np.ndarray, int]]:
     """(bucket keys, shared at least) of a set for its own band and for the next one."""
     out = []
-    t = mixed(s ^ np.uint64(seed)) if seed else s
     for b in (own, own + 1):
         lo, _, d, m = bands[b]
         if not len(s) or not d or b > own and 100 * len(s) < percent * lo:
             out.append((np.zeros(0, dtype=np.uint64), len(s) + 1))  # only equal sets are near, or no set of the next band is near enough
             continue
-        numbers, parity, counts, need = parts_of(t, b, d, m, strong)
+        numbers, parity, counts, need = parts_of(s, b, d, m, strong)
         head = np.full(len(numbers), b, dtype=np.uint64) << np.uint64(48)
         out.append((mixed(mixed(head + numbers.astype(np.uint64)) + parity * _M3 + counts.astype(np.uint64)), need))
     return out
@@ -288,51 +283,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """The rows (bucket, nid, label) of buckets with two labels or more, with the number of members."""
-    ends = rows.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("members")).filter("least < most")
-    return rows.join(ends.select("bucket", "members"), "bucket")
-
-
-def _split(rows: DataFrame, sets: DataFrame, percent: int, seed: int) -> DataFrame:
-    """Rows (bucket, nid, label) of large buckets, dealt to buckets within each by sketches of another seed.
-
-    Linked sets share a bucket of every seed, so none is parted from another.
-    """
-    bands, strong = band_plan(percent), strong_from(percent)
-    lows = np.array([b[0] for b in bands])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = []
-            for items in batch.column("items"):
-                s = items.values.to_numpy().view(np.uint64)
-                where = filed(s, int(np.searchsorted(lows, len(s), side="right")) - 1, bands, percent, strong, seed)
-                keys.append(np.concatenate([x for x, _ in where]).view(np.int64))
-            yield pa.RecordBatch.from_pydict({"nid": batch.column("nid"), "keys": pa.array(keys, pa.list_(pa.int64()))})
-
-    own = sets.select("nid", "items").join(rows.select("nid").distinct(), "nid", "left_semi").mapInArrow(run, "nid long, keys array<long>")
-    dealt = rows.join(own, "nid").select("bucket", "nid", "label", F.explode("keys").alias("k"))
-    return dealt.select(F.xxhash64("bucket", "k").alias("bucket"), "nid", "label").distinct()
+    """The rows (bucket, nid, label) of buckets with two labels or more."""
+    ends = rows.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most")
+    return rows.join(ends.select("bucket"), "bucket")
 
 
 def _across(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different labels in a bucket that sizes and whole-set sketches leave possible.
-
-    Buckets of more than LARGE members are split by other seeds first, so that a bucket
-    gives at most so many pairs a member, unless its members are alike under every seed.
-    """
-    todo, small, spent = open_rows, [], []
-    for seed in range(1, SEEDS + 1):
-        small.append(todo.filter(F.col("members") <= LARGE).select("bucket", "nid", "label"))
-        large = todo.filter(F.col("members") > LARGE).select("bucket", "nid", "label")
-        if large.isEmpty():
-            todo = None
-            break
-        todo = written(_open(_split(large, sets, percent, seed)), "split")
-        spent.append(todo)
-    rows = small[0]
-    for more in [*small[1:], *([todo.select("bucket", "nid", "label")] if todo is not None else [])]:
-        rows = rows.unionByName(more)
+    """Pairs (a, b) of different labels in a bucket that sizes and whole-set sketches leave possible."""
+    rows = open_rows.select("bucket", "nid", "label")
     # sizes fall into cells one threshold wide: a set meets those of its own cell and of the next
     sized = rows.join(sets.select("nid", "n"), "nid").withColumn("cell", F.floor(F.log(F.col("n")) / (math.log(100 / percent) * (1 + 1e-9))))
     x = sized.select("bucket", F.explode(F.array("cell", F.col("cell") + 1)).alias("at"), F.col("nid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), "cell")
@@ -343,10 +301,7 @@ def _across(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     wide = sets.select("nid", "n", "wide")
     both = pairs.join(wide.select(F.col("nid").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "b")
     apart = F.aggregate(F.zip_with("wa", "wb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, b: s + b)
-    out = written(both.filter((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
-    for frame in spent:
-        dropped(frame)
-    return out
+    return written(both.filter((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
 
 
 def link_groups(docs: DataFrame, percent: int = 80, k: int = 5, rounds: int = 6) -> DataFrame:
