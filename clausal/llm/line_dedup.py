@@ -1,34 +1,37 @@
 """Line deduplication by pairwise alignment.
 
-Lines are hashed to 128 bits. The earliest document that has a line is its holder; every
-later document that has the line too forms a pair with the holder, which is one pair for
-a line and a document, however many documents share the line. A pair is aligned by
-patience diff over the lines they share: lines unique on both sides anchor it by their
-longest increasing subsequence, and equal lines next to anchors extend the blocks.
-Shared lines that this leaves over, for they cross or repeat, are aligned once more in
-runs of their own: adjacent lines that the holder has in the same order.
-A run of aligned lines is a common block; blocks of `block_words` words or more are
-deleted from the later document.
-
-A passage may have its lines in one order in their holder and in another in the documents
-that share it. So passages count by themselves too: windows of adjacent lines, as short as
-`block_words` words allow, are hashed like lines, and go from all documents but the
-earliest that has them. Two documents with a common passage of so many words share all its
-windows, and these cover it, whatever else they have and however often they have it.
-
-Documents are ordered by id (null last), rows of one id by a key of their text.
+Lines are hashed to 128 bits. Documents that share a line form pairs: of a rare line, of at
+most RARE documents, every two of them; of any other line every document and the first
+one that has the line. Each pair is aligned by patience diff over all the lines that both
+have: lines unique on both sides anchor it by their longest increasing subsequence, and
+what lies between anchors is aligned in the same way. Shared lines that this leaves over,
+for they cross or repeat, are aligned once more in runs of their own: adjacent lines that
+the earlier document has in the same order. A run of lines that one pair aligns is a common
+block; blocks of `block_words` words or more are deleted from the later document.
+
+A passage may be frequent, and have its lines in one order in the first document that has
+them and in another in those that share it. So windows of adjacent lines, as short as
+`block_words` words allow, are hashed like lines, find pairs like these, and are common
+blocks for all documents but the first that has them. Two documents with a common passage
+of so many words share all its windows, and these cover it, whatever else they have and
+however often they have it.
+
+Documents are ordered by id (null last), rows of one id by a key of their text. Lines are
+counted by an aggregate before anything is joined; a frequent line costs one pair a document.
 
 Defined results: lines are what lies between line feeds; lines without words are never
 shared, neither end a block nor count in it, and go where they lie between lines that go;
-a null or empty text has none and stays as it is; repeated rows are one document
-and are treated alike; all columns pass through, and n_chars, where there is one, follows
-the text of the documents that lose lines.
+a null or empty text has none and stays as it is; a very long text is a document like any
+other; repeated rows are one document and are treated alike; an empty table gives no rows;
+all columns pass through, but for a column n_gone, which gives way to the output's, and
+n_chars, where there is one, which follows the text of the documents that lose lines.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -37,12 +40,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausal.llm.common import WORD, slices, text_key, written
+from clausal.llm.common import WORD, dropped, slices, text_key, unused, written
 
 _WORDS = re.compile(WORD)
 
 LAST = (1 << 63) - 1
 
+#: Documents of a line that are all paired with one another.
+RARE = 6
+
 
 def windows(words: list[int], least: int) -> list[tuple[int, int]]:
     """(start, stop) of the shortest windows of at least so many words from each line on and up to each line, if they have several lines."""
@@ -111,31 +117,32 @@ def increasing(values: list[int]) -> list[int]:
 def aligned(later: dict[int, int], earlier: dict[int, int]) -> list[int]:
     """Places of the later document that patience diff aligns with the earlier one.
 
-    Both map places to numbers of shared lines.
+    Both map places to numbers of lines. A stretch of either side is aligned by the lines
+    that are unique in both stretches; what has none of these, by equal ends.
     """
-    once_later: dict[int, int] = {}
-    for p, line in later.items():
-        once_later[line] = -1 if line in once_later else p
-    once_earlier: dict[int, int] = {}
-    for p, line in earlier.items():
-        once_earlier[line] = -1 if line in once_earlier else p
-    anchors = sorted((p, once_earlier[line]) for line, p in once_later.items() if p >= 0 and once_earlier.get(line, -1) >= 0)
-    chosen = [anchors[i] for i in increasing([q for _, q in anchors])]
-    if not chosen and later and earlier:
-        # nothing is unique on both sides: the first places of the first shared line serve
-        line = min(set(later.values()) & set(earlier.values()), default=None)
-        if line is not None:
-            chosen = [(min(p for p, x in later.items() if x == line), min(q for q, x in earlier.items() if x == line))]
-    taken: dict[int, int] = dict(chosen)
-    used = set(taken.values())
-    for p, q in chosen:
-        for step in (1, -1):
-            x, y = p + step, q + step
-            while x not in taken and y not in used and x in later and later[x] == earlier.get(y):
-                taken[x] = y
-                used.add(y)
-                x, y = x + step, y + step
-    return sorted(taken)
+    mine, other = set(later.values()), set(earlier.values())
+    x = [(p, later[p]) for p in sorted(later) if later[p] in other]
+    y = [(p, earlier[p]) for p in sorted(earlier) if earlier[p] in mine]
+    out: list[int] = []
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and x[a][1] == y[c][1]:
+            out.append(x[a][0])
+            a, c = a + 1, c + 1
+        while a < b and c < d and x[b - 1][1] == y[d - 1][1]:
+            b, d = b - 1, d - 1
+            out.append(x[b][0])
+        if a == b or c == d:
+            continue
+        once_x, once_y = Counter(line for _, line in x[a:b]), Counter(line for _, line in y[c:d])
+        at = {y[j][1]: j for j in range(c, d) if once_y[y[j][1]] == 1}
+        anchors = [(i, at[x[i][1]]) for i in range(a, b) if once_x[x[i][1]] == 1 and x[i][1] in at]
+        chosen = [anchors[i] for i in increasing([j for _, j in anchors])]
+        out += [x[i][0] for i, _ in chosen]
+        if chosen:
+            todo += [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip([(a - 1, c - 1), *chosen], [*chosen, (b, d)], strict=True)]
+    return sorted(out)
 
 
 def left_over(later: dict[int, int], earlier: dict[int, int], done: list[int]) -> list[list[int]]:
@@ -171,85 +178,88 @@ def blocks(places: set[int], words: dict[int, int], least: int) -> list[int]:
     return out
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        yield from batch.to_pylist()
+def common_blocks(later: list[dict], earlier: list[dict], least: int) -> list[tuple[int, int]]:
+    """(start, stop) of the runs of lines of the later document that are blocks in common with the earlier one.
+
+    Both are lists of lines, each with h, its places and its number of words.
+    """
+    number = {x["h"]: i for i, x in enumerate(earlier)}
+    words, mine, theirs = {}, {}, {}
+    for x in later:
+        if (i := number.get(x["h"])) is not None:
+            for v in x["at"]:
+                mine[v >> 32], words[v >> 32] = i, x["words"]
+    for i, x in enumerate(earlier):
+        for v in x["at"]:
+            theirs[v >> 32] = i
+    done = aligned(mine, theirs)
+    gone = set(blocks(set(done), words, least))
+    for places in left_over(mine, theirs, done):
+        gone.update(blocks(set(places), words, least))
+    return runs(gone)
+
+
+def runs(places: set[int]) -> list[tuple[int, int]]:
+    """(start, stop) of the runs of adjacent places."""
+    out: list[tuple[int, int]] = []
+    for p in sorted(places):
+        if out and out[-1][1] == p:
+            out[-1] = (out[-1][0], p + 1)
+        else:
+            out.append((p, p + 1))
+    return out
+
+
+def flags_of(lines: list[dict], spans: list[dict]) -> list[bool]:
+    """Whether the line at a place goes, up to the last that does, for spans of lines with words; lines without words go between those that go."""
+    lies = {v >> 32: v & 0xFFFFFFFF for x in lines for v in x["at"]}
+    gone = {p for s in spans for p in range(s["start"], s["stop"])}
+    flags = [False] * (lies[max(gone)] + 1)
+    for start, stop in runs(gone):
+        for x in range(lies[start], lies[stop - 1] + 1):
+            flags[x] = True
+    return flags
 
 
 def deletions(docs: DataFrame, block_words: int = 25) -> DataFrame:
     """(id, key, gone): for each later document that loses lines, whether the line at a place goes, up to the last that does."""
     lines = written(shared_lines(docs, block_words), "lines")
-    holder = lines.groupBy("h").agg(F.min(F.struct("id", "key", "at")).alias("first"), F.max(F.struct("id", "key")).alias("last"))
-    holder = holder.filter("first.id <> last.id or first.key <> last.key").select("h", "first")
-    met = lines.join(holder, "h").filter("id <> first.id or key <> first.key")
-    met = met.select("id", "key", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"), "h", "at", F.col("first.at").alias("first_at"), "words")
-    met = met.repartition("id", "key").sortWithinPartitions("id", "key", "first_id", "first_key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list] = {"id": [], "key": [], "gone": []}
-        doc = pair = None
-        later: dict[int, int] = {}
-        earlier: dict[int, int] = {}
-        taken: set[int] = set()
-        common: set[int] = set()  # places of blocks that stand by themselves
-        words: dict[int, int] = {}
-        lies: dict[int, int] = {}  # the place of a line with words among all lines
-        line = 0
-
-        def end_pair() -> None:
-            if later:
-                done = aligned(later, earlier)
-                taken.update(done)
-                for places in left_over(later, earlier, done):
-                    common.update(blocks(set(places), words, block_words))
-            later.clear()
-            earlier.clear()
-
-        def end_doc() -> None:
-            end_pair()
-            if doc is not None and (gone := common.union(blocks(taken, words, block_words))):
-                flags = [False] * (lies[max(gone)] + 1)
-                for p in gone:
-                    for x in range(lies[p - 1] + 1 if p - 1 in gone else lies[p], lies[p] + 1):
-                        flags[x] = True
-                for c, v in zip(found, (*doc, flags), strict=True):
-                    found[c].append(v)
-            taken.clear()
-            common.clear()
-            words.clear()
-            lies.clear()
-
-        def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"id": pa.array(found["id"], pa.int64()), "key": pa.array(found["key"], pa.int64()), "gone": pa.array(found["gone"], pa.list_(pa.bool_()))})
-            for v in found.values():
-                v.clear()
-            return out
-
-        for row in _rows(batches):
-            if (at := (row["id"], row["key"])) != doc:
-                end_doc()
-                doc, pair = at, None
-                if len(found["id"]) > 2000:
-                    yield batch()
-            if (other := (row["first_id"], row["first_key"])) != pair:
-                end_pair()
-                pair = other
-            if row["words"] < 0:
-                for v in row["at"]:
-                    common.update(range(v >> 32, (v >> 32) - row["words"]))
-                continue
-            line += 1  # a number that no line of the pair has yet
-            for v in row["at"]:
-                p = v >> 32
-                later[p] = line
-                words[p] = row["words"]
-                lies[p] = v & 0xFFFFFFFF
-            for v in row["first_at"]:
-                earlier[v >> 32] = line
-        end_doc()
-        yield batch()
-
-    return met.drop("h").mapInArrow(run, "id long, key long, gone array<boolean>")
+    place = F.struct("id", "key")
+    stats = lines.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("df")).filter("first <> last").select("h", "first", "df")
+    shared = written(lines.join(stats, "h"), "shared")
+    dropped(lines)
+    later = shared.filter("id <> first.id or key <> first.key")
+    pairs = later.select("id", "key", F.col("first.id").alias("id_e"), F.col("first.key").alias("key_e"))
+    rare = shared.filter(F.col("df").between(3, RARE) & (F.col("words") > 0)).select("h", "id", "key")  # of two documents one is the first
+    other = rare.select(F.col("h").alias("h_e"), F.col("id").alias("id_e"), F.col("key").alias("key_e"))
+    near = rare.join(other, (F.col("h") == F.col("h_e")) & ((F.col("id") > F.col("id_e")) | (F.col("id") == F.col("id_e")) & (F.col("key") > F.col("key_e"))))
+    pairs = pairs.unionByName(near.select("id", "key", "id_e", "key_e")).distinct()
+    # a set: repeated rows give the same lines
+    lists = written(shared.filter("words > 0").groupBy("id", "key").agg(F.collect_set(F.struct("h", "at", "words")).alias("lines")), "lists")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[str, list] = {"id": [], "key": [], "start": [], "stop": []}
+            for row in batch.to_pylist():
+                for start, stop in common_blocks(row["lines"], row["lines_e"], block_words):
+                    for c, v in zip(found, (row["id"], row["key"], start, stop), strict=True):
+                        found[c].append(v)
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64() if c in ("id", "key") else pa.int32()) for c, v in found.items()})
+
+    both = pairs.join(lists, ["id", "key"]).join(lists.withColumnsRenamed({"id": "id_e", "key": "key_e", "lines": "lines_e"}), ["id_e", "key_e"])
+    blocks_of = both.select("id", "key", "lines", "lines_e").mapInArrow(align, "id long, key long, start int, stop int")
+    passages = later.filter("words < 0").select("id", "key", "words", F.explode("at").alias("v")).select("id", "key", F.shiftright("v", 32).cast("int").alias("start"), (F.shiftright("v", 32) - F.col("words")).cast("int").alias("stop"))
+    spans = blocks_of.unionByName(passages).groupBy("id", "key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+
+    def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = [flags_of(row["lines"], row["spans"]) for row in batch.select(["lines", "spans"]).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "key": batch.column("key"), "gone": pa.array(gone, pa.list_(pa.bool_()))})
+
+    gone = written(spans.join(lists, ["id", "key"]).select("id", "key", "lines", "spans").mapInArrow(flags, "id long, key long, gone array<boolean>"), "gone")
+    dropped(shared)
+    dropped(lists)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, block_words: int = 25, drop_emptied: bool = False) -> DataFrame:
@@ -258,14 +268,17 @@ def dedup_lines(docs: DataFrame, block_words: int = 25, drop_emptied: bool = Fal
     With `drop_emptied`, documents that lose all their words are dropped.
     """
     columns = docs.columns
-    gone = deletions(docs, block_words)
-    keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(LAST)), "__key": text_key()})
-    met = keyed.join(gone.withColumnsRenamed({"id": "__id", "key": "__key", "gone": "__gone"}), ["__id", "__key"], "left")
-    left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.coalesce(F.get("__gone", i), F.lit(False)))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    out = met.withColumns({"text": text, "n_gone": F.when(F.col("__gone").isNull(), 0).otherwise(F.size(F.filter("__gone", lambda g: g))).cast("long")})
+    at, key, flags = unused(docs, "at", "key", "gone")
+    gone = deletions(docs, block_words).withColumnsRenamed({"id": at, "key": key, "gone": flags})
+    met = docs.withColumns({at: F.coalesce("doc_id", F.lit(LAST)), key: text_key()}).join(gone, [at, key], "left")
+    loses = F.col(flags).isNotNull()
+    left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.coalesce(F.get(flags, i), F.lit(False)))
+    n_gone = F.when(loses, F.size(F.filter(flags, lambda g: g))).otherwise(0).cast("long")
+    changed = {"text": F.when(loses, F.array_join(left, "\n")).otherwise(F.col("text"))}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_gone") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        changed["n_chars"] = F.when(loses, F.length(changed["text"])).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    kept = [c for c in columns if c != "n_gone"]
+    out = met.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in kept], n_gone.alias("n_gone"))
     if drop_emptied:
         out = out.filter((F.col("n_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*[c for c in columns if c != "n_gone"], "n_gone")
+    return out

@@ -184,12 +184,111 @@ def test_line_dedup_leaves_each_passage_once(spark):
 
 
 def test_alignment_is_in_order():
-    """Lines that cross aren't aligned; a longest common order of unique lines is, and equal neighbours join it."""
+    """Lines that cross aren't aligned; a longest common order of unique lines is, and what lies between is aligned too."""
     later, earlier = {0: 1, 1: 2, 2: 3, 3: 9, 4: 9}, {0: 3, 1: 1, 2: 2, 3: 9, 5: 9}
-    assert line_dedup.aligned(later, earlier) == [0, 1]
+    assert line_dedup.aligned(later, earlier) == [0, 1, 3, 4]
     assert line_dedup.aligned({0: 1, 1: 9, 2: 9}, {4: 1, 5: 9, 6: 9}) == [0, 1, 2]
     assert line_dedup.increasing([3, 1, 2, 9, 4, 5]) == [1, 2, 4, 5]
     assert line_dedup.aligned({0: 1, 1: 1}, {0: 1, 1: 1}) == [0, 1]
+    assert line_dedup.aligned({0: 5, 1: 7, 2: 7, 3: 6}, {0: 5, 1: 7, 2: 8, 3: 7, 4: 6}) == [0, 1, 2, 3]
+    assert line_dedup.aligned({}, {0: 1}) == line_dedup.aligned({0: 2}, {0: 1}) == []
+
+
+def patience(x, y):
+    """Index pairs of a patience diff of two lists, by recursion on slices."""
+    if not x or not y:
+        return []
+    if x[0] == y[0]:
+        return [(0, 0), *((i + 1, j + 1) for i, j in patience(x[1:], y[1:]))]
+    if x[-1] == y[-1]:
+        return [*patience(x[:-1], y[:-1]), (len(x) - 1, len(y) - 1)]
+    unique = [(i, y.index(v)) for i, v in enumerate(x) if x.count(v) == 1 and y.count(v) == 1]
+    best = []
+    for i, j in unique:  # a longest increasing chain that ends here
+        tails = [c for c in (u[2] for u in best) if c[-1][1] < j]
+        best.append((i, j, [*max(tails, key=len, default=[]), (i, j)]))
+    chain = max((u[2] for u in best), key=len, default=[])
+    if not chain:
+        return []
+    out, at = [], (-1, -1)
+    for i, j in [*chain, (len(x), len(y))]:
+        a, b = at[0] + 1, at[1] + 1
+        out += [(a + p, b + q) for p, q in patience(x[a:i], y[b:j])]
+        out += [(i, j)] * (i < len(x))
+        at = (i, j)
+    return out
+
+
+def in_order(few, many):
+    """Whether the lines occur in the same order in a document."""
+    rest = iter(many)
+    return all(v in rest for v in few)
+
+
+def test_line_dedup_equals_pairwise_patience(spark):
+    """What a patience diff aligns with an earlier document through a rare line goes, and nothing goes but blocks of one earlier document."""
+    rng = random.Random(21)
+    pool = [line(rng.choice([6, 9, 14]), f"v{i}_") for i in range(150)]
+    rows, texts = [], []
+    for i in range(70):
+        lines = [rng.choice(pool) for _ in range(rng.randint(1, 8))]
+        if texts and rng.random() < 0.7:  # part of an earlier document, with lines put in or left out
+            old = rng.choice(texts)
+            a = rng.randrange(len(old))
+            part = [x for x in old[a : a + rng.randint(2, 9)] if rng.random() < 0.9]
+            lines[rng.randrange(len(lines)) : 0] = part
+        if rng.random() < 0.3:
+            lines.insert(rng.randrange(len(lines)), line(7, f"own{i}_"))
+        texts.append(lines)
+        rows.append((i, "\n".join(lines)))
+    out = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    df = Counter(x for lines in texts for x in set(lines))
+    gone_in_all = 0
+    for i, lines in enumerate(texts):
+        gone = set()
+        for earlier in texts[:i]:
+            if not any(df[v] <= line_dedup.RARE for v in set(lines) & set(earlier)):
+                continue
+            mine, theirs = [k for k, v in enumerate(lines) if v in earlier], [v for v in earlier if v in lines]
+            places = [mine[a] for a, _ in patience([lines[k] for k in mine], theirs)]
+            while places:
+                run = [places.pop(0)]
+                while places and places[0] == run[-1] + 1:
+                    run.append(places.pop(0))
+                if sum(len(lines[k].split()) for k in run) >= 25:
+                    gone.update(run)
+        may = set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(len(v.split()) for v in lines[a:b]) >= 25 and any(in_order(lines[a:b], e) for e in texts[:i]):
+                    may.update(range(a, b))
+        left = [x for x in out[i] if x]
+        assert not Counter(left) - Counter(v for k, v in enumerate(lines) if k not in gone)
+        assert not Counter(v for k, v in enumerate(lines) if k not in may) - Counter(left)
+        gone_in_all += len(gone)
+    assert gone_in_all > 60
+
+
+def test_line_dedup_finds_copies_of_what_another_document_has_crossed(spark):
+    lines = [line(10, f"k{i}_") for i in range(6)]
+    rows = [(1, "\n".join(reversed(lines))), (2, "\n".join(lines)), (3, "\n".join(lines))]
+    out = {r.doc_id: (r.text, r.n_gone) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert out == {1: (rows[0][1], 0), 2: (rows[1][1], 0), 3: ("", 6)}
+
+
+def test_line_dedup_takes_a_block_from_one_document(spark):
+    """Lines that each another document has are no common block, long as they are together."""
+    lines = [line(10, f"k{i}_") for i in range(3)]
+    rows = [(i, f"{v}\n{line(9, f'o{i}_')}") for i, v in enumerate(lines)] + [(9, "\n".join(lines))]
+    assert all(r.n_gone == 0 for r in line_dedup.dedup_lines(frame(spark, rows)).collect())
+
+
+def test_line_dedup_columns_and_long_texts(spark):
+    many = "\n".join(line(5, f"l{i}_") for i in range(4000))
+    rows = [(1, many, "a", "b", "c", 7), (2, f"x\n{many}\ny", "a", "b", "c", 7), (2, f"x\n{many}\ny", "a", "b", "c", 7)]
+    df = frame(spark, rows, "doc_id long, text string, _at string, _key string, _gone string, n_gone int")
+    out = sorted((r.doc_id, r.text == many or r.text, r._at, r._key, r._gone, r.n_gone) for r in line_dedup.dedup_lines(df).collect())
+    assert out == [(1, True, "a", "b", "c", 0), *[(2, "x\ny", "a", "b", "c", 4000)] * 2]
 
 
 def common_passages(rows, least):
