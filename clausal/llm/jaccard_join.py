@@ -12,9 +12,10 @@ common ones go, one fewer than any link shares: two linked sets still meet in on
 
 Documents of equal sets form a class, of which one row goes on. In a bucket every class is
 first compared with hubs, a few classes of the bucket. Verified links give components.
-What is still apart in a bucket, across components, passes a test on a whole-set sketch of
-fixed width and is verified pair by pair, so that no link between components is lost,
-while a group of copies costs one comparison a member.
+What is still apart in a bucket, across components, is paired by what sets it apart from a
+hub, passes a test on a whole-set sketch of fixed width and is verified pair by pair, so
+that no link between components is lost, while a group of copies, linked or not, costs a
+few comparisons a member.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; with
 fewer words than a shingle has, the whole word sequence is the one element; repeated rows
@@ -53,6 +54,9 @@ WIDE = 16
 #: Passes over the buckets: shuffles hold about so small a part of them at a time.
 PASSES = 4
 
+#: Members up to which an open bucket's are paired with one another.
+SMALL = 8
+
 #: Digests of sets that a task remembers, so as to file equal ones once.
 SEEN = 200_000
 
@@ -283,27 +287,100 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """The rows (bucket, nid, label) of buckets with two labels or more."""
-    ends = rows.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most")
-    return rows.join(ends.select("bucket"), "bucket")
-
-
-def _across(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different labels in a bucket that sizes and whole-set sketches leave possible."""
-    rows = open_rows.select("bucket", "nid", "label")
+    """The rows (bucket, nid, label) of buckets with two labels or more, with the number of members."""
+    ends = rows.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("members")).filter("least < most")
+    return rows.join(ends.select("bucket", "members"), "bucket")
+
+
+def _beside_hubs(large: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) with the hubs of large open buckets, and buckets (bucket, nid, linked, near, far, place) in which their other members meet if they may be linked.
+
+    A member x is held as D(x), what it and its bucket's hub h don't have in common. Sets
+    are linked if (100 + percent) |D(x) ^ D(y)| <= (100 - percent) (|x| + |y|), so if y isn't
+    linked with h, D(x) and D(y) have an element in common, and more than
+    (|D(x)| + (|h| - |x|) (100 - percent) / (100 + percent)) / 2 of them; whatever y is,
+    all but as many of D(x) as linked sets may differ in. So members meet by the rarest
+    elements of D(x), which are the changes that few others have too, and a group of
+    copies with changes of their own makes no pairs. Buckets of one group agree on a hub,
+    by votes of their members.
+    """
+    own = large.select("bucket", "nid", "label")
+    votes = own.join(own.groupBy("bucket").agg(F.min("nid").alias("hub")), "bucket").groupBy("nid", "hub").agg(F.count(F.lit(1)).alias("c"))
+    best = votes.groupBy("nid").agg(F.max(F.struct("c", "hub")).alias("best")).select("nid", "best.hub")
+    chosen = own.join(best, "nid").groupBy("bucket", "hub").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "hub")).alias("best"))
+    met = own.join(chosen.select("bucket", "best.hub"), "bucket").filter("nid <> hub").select("nid", "label", "hub").distinct()
+    both = met.join(sets.select("nid", "n", "items"), "nid").join(sets.select(F.col("nid").alias("hub"), F.col("n").alias("nh"), F.col("items").alias("of_hub")), "hub")
+    diffs = both.select("nid", "label", "hub", "n", "nh", F.concat(F.array_except("items", "of_hub"), F.array_except("of_hub", "items")).alias("d"))
+    size = F.size("d").cast("long")
+    diffs = written(diffs.withColumn("linked", (100 + percent) * size <= (100 - percent) * (F.col("n") + F.col("nh"))), "diffs")
+    least = (100 + percent) * size + (100 - percent) * (F.col("nh") - F.col("n")) + 1
+    near = F.greatest(F.lit(1), F.ceil(least / (2 * (100 + percent)) - 1e-9)).alias("near")
+    far = F.greatest(F.lit(1), size - F.floor((100 - percent) * (F.col("n") + F.floor(100 * F.col("n") / percent + 1e-9)) / (100 + percent) + 1e-9)).alias("far")
+    rows = diffs.select("nid", "label", "hub", "linked", near, far, F.explode("d").alias("e")).withColumn("bucket", F.xxhash64("hub", "e"))
+    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("cnt")).filter("cnt > 1")
+    place = Window.partitionBy("nid", "hub").orderBy(F.desc("cnt"), F.desc("bucket"))
+    ranked = rows.join(counts, "bucket").withColumn("place", F.row_number().over(place))
+    # elements met once come last, so the first near - 1 or far - 1 places of D(x) may go
+    changes = written(ranked.filter("place >= least(near, far)").select("bucket", "nid", "linked", "near", "far", "place"), "changes")
+    links = written(diffs.filter("linked").select(F.col("nid").alias("a"), F.col("hub").alias("b")), "links")
+    dropped(diffs)
+    return links, changes
+
+
+def _across(rows: DataFrame, changes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels that sizes and whole-set sketches leave possible: all of a bucket in rows, and those of changes that may be linked."""
+    y = changes.select(F.col("bucket").alias("bucket_y"), F.col("nid").alias("b"), F.col("label").alias("lb"), F.col("linked").alias("linked_y"), F.col("near").alias("near_y"), F.col("place").alias("place_y"))
+    apart = (F.col("bucket") == F.col("bucket_y")) & (F.col("label") != F.col("lb"))
+    neither = changes.filter("not linked and place >= near").join(y.filter("not linked_y and place_y >= near_y"), apart & (F.col("nid") < F.col("b")))
+    either = changes.filter("not linked and place >= far").join(y.filter("linked_y and place_y >= near_y"), apart)
+    pairs = neither.select(F.col("nid").alias("a"), "b").unionByName(either.select(F.col("nid").alias("a"), "b"))
     # sizes fall into cells one threshold wide: a set meets those of its own cell and of the next
-    sized = rows.join(sets.select("nid", "n"), "nid").withColumn("cell", F.floor(F.log(F.col("n")) / (math.log(100 / percent) * (1 + 1e-9))))
+    sized = rows.select("bucket", "nid", "label").join(sets.select("nid", "n"), "nid").withColumn("cell", F.floor(F.log(F.col("n")) / (math.log(100 / percent) * (1 + 1e-9))))
     x = sized.select("bucket", F.explode(F.array("cell", F.col("cell") + 1)).alias("at"), F.col("nid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), "cell")
     y = sized.select(F.col("bucket").alias("bucket_y"), F.col("cell").alias("at_y"), F.col("nid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
     once = (F.col("cell") < F.col("at_y")) | (F.col("a") < F.col("b"))
     near = (F.col("la") != F.col("lb")) & once & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    pairs = x.join(y, (F.col("bucket") == F.col("bucket_y")) & (F.col("at") == F.col("at_y")) & near).select("a", "b").distinct()
+    pairs = pairs.unionByName(x.join(y, (F.col("bucket") == F.col("bucket_y")) & (F.col("at") == F.col("at_y")) & near).select("a", "b")).distinct()
     wide = sets.select("nid", "n", "wide")
     both = pairs.join(wide.select(F.col("nid").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "b")
     apart = F.aggregate(F.zip_with("wa", "wb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, b: s + b)
     return written(both.filter((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
 
 
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+
+
+def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """The labels with further links (a, b); the stars so far hold all that the links so far say."""
+    out = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more.select("a", "b")))
+    dropped(labels)
+    return out
+
+
+def _by_hubs(rows: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
+    """The labels after so many rounds over buckets (bucket, nid), or fewer if they have little more to give.
+
+    A round draws a hub of each bucket that is still open, and every class of another
+    component in such buckets tries the hub that it meets most often.
+    """
+    for turn in range(rounds):
+        open_rows = written(_open(_labelled(rows, labels).select("bucket", "nid", "label")), "open")
+        draw = F.struct(F.xxhash64(F.lit(turn), "nid").alias("h"), "nid", "label")
+        tries = open_rows.join(open_rows.groupBy("bucket").agg(F.min(draw).alias("hub")), "bucket").filter("label <> hub.label")
+        votes = tries.groupBy("nid", F.col("hub.nid").alias("hub")).agg(F.count(F.lit(1)).alias("c"))
+        pairs = written(votes.groupBy("nid").agg(F.max(F.struct("c", "hub")).alias("best")).select(F.col("nid").alias("a"), F.col("best.hub").alias("b")), "pairs")
+        more = written(verified(pairs, sets, percent), "links")
+        found, tried = more.count(), pairs.count()
+        if found:
+            labels = _joined(labels, more)
+        for frame in (open_rows, pairs, more):
+            dropped(frame)
+        if found * 16 < tried or not found:
+            break
+    return labels
+
+
 def link_groups(docs: DataFrame, percent: int = 80, k: int = 5, rounds: int = 6) -> DataFrame:
     """(doc_id, key, n_shingles, label, component_id) of every row: the components of all pairs with 100 |A & B| >= percent |A | B|.
 
@@ -340,36 +417,19 @@ def link_groups(docs: DataFrame, percent: int = 80, k: int = 5, rounds: int = 6)
     links = written(verified(pairs, sets, percent), "links")
     labels = components(links)
     dropped(links)
-    turn = 0
-    while True:
-        named = shared.select("bucket", "nid").join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("bucket", "nid", F.coalesce("label", "nid").alias("label"))
-        # a bucket is open while it holds two components
-        open_rows = written(_open(named), "open")
-        if open_rows.isEmpty():
-            dropped(open_rows)
-            break
-        last = turn >= rounds
-        if last:
-            pairs = _across(open_rows, sets, percent)
-        else:
-            # a hub of each open bucket, another one each turn; every class of another component tries one of them
-            draw = F.struct(F.xxhash64(F.lit(turn), "nid").alias("h"), "nid", "label")
-            hub = open_rows.groupBy("bucket").agg(F.min(draw).alias("hub"))
-            tries = open_rows.join(hub, "bucket").filter("label <> hub.label")
-            pairs = written(tries.groupBy("nid").agg(F.min("hub.nid").alias("hub")).select(F.col("nid").alias("a"), F.col("hub").alias("b")), "pairs")
+    labels = _by_hubs(shared.select("bucket", "nid"), labels, sets, percent, rounds)
+    # a bucket is open while it holds two components
+    open_rows = written(_open(_labelled(shared.select("bucket", "nid"), labels)), "open")
+    if not open_rows.isEmpty():
+        beside, changes = _beside_hubs(open_rows.filter(F.col("members") > SMALL), sets, percent)
+        small = open_rows.filter(F.col("members") <= SMALL).select("bucket", "nid")
+        labels = _by_hubs(small.unionByName(changes.select("bucket", "nid")), _joined(labels, beside), sets, percent, rounds)
+        pairs = _across(_labelled(small, labels), _labelled(changes, labels), sets, percent)
         more = written(verified(pairs, sets, percent), "links")
-        found, tried = more.count(), pairs.count()
-        if found:
-            # the stars so far hold all that the links so far say
-            before = labels
-            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
-            dropped(before)
-        for frame in (open_rows, pairs, more):
+        labels = _joined(labels, more)
+        for frame in (beside, changes, pairs, more):
             dropped(frame)
-        if last:
-            break
-        # where hubs have little more to give, all pairs of the open buckets come next
-        turn = rounds if found * 8 < tried else turn + 1
+    dropped(open_rows)
     named = classes.select("nid", "sig", "cid").join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("sig", "cid", F.coalesce("label", "nid").alias("label"))
     least = named.groupBy("label").agg(F.min("cid").alias("component_id"))
     by_sig = written(named.join(least, "label").select("sig", "label", "component_id"), "components")

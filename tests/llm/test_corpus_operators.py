@@ -130,6 +130,30 @@ def test_null_ids(spark):
     assert sorted(str(r.doc_id) for r in jaccard_join.keep_one(frame(spark, rows), 80, 5).collect()) == ["2", "None"]
 
 
+def test_copies_that_each_differ_from_the_rest(spark):
+    """A large group of copies with changes of their own, in which only small clusters are linked."""
+    rng = random.Random(33)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for g in range(30):
+        own = list(base)
+        for _ in range(9):
+            own[rng.randrange(len(own))] = f"g{g}_{rng.randrange(10**6)}"
+        for _ in range(rng.randint(1, 3)):
+            copy = list(own)
+            copy[rng.randrange(len(copy))] = f"c{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    _, roots = groups(rows, 90, 3)
+    for rounds in (6, 0):
+        got = jaccard_join.link_groups(frame(spark, rows), 90, 3, rounds).collect()
+        label = {r.doc_id: r.component_id for r in got}
+        least: dict = {}
+        for (i, _), r in zip(rows, roots, strict=True):
+            least.setdefault(r, i)
+        assert all(label[i] == least[r] for (i, _), r in zip(rows, roots, strict=True))
+    assert 25 < len(least) < len(rows)
+
+
 # ---- line dedup ------------------------------------------------------------------------------------------------
 
 
