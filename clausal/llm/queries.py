@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausal.llm import bpe, chat, jaccard_join, line_dedup, mixing, pii, repetition, search, toxicity, url_filter
+from clausal.llm import bpe, chat, jaccard_join, line_dedup, mixing, oracle, pii, repetition, search, toxicity, url_filter
 from clausal.llm.common import table
 
 
@@ -76,6 +76,21 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
+def base_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op1_pii that SQL can express: the base spans."""
+    return op1_pii(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in pii.KINDS], "base_sha256")
+
+
+def base_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6_url_filter that SQL can express: hosts, paths and written rules."""
+    return op6_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def base_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9_repetition that SQL can express: the base measures."""
+    return op9_repetition(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
@@ -87,8 +102,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_repetition": op9_repetition,
     "op10_jaccard_join": op10_jaccard_join,
+    "base_pii": base_pii,
+    "base_url_rules": base_url_rules,
+    "base_repetition": base_repetition,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": mixing.ORACLE_SQL,
+    "op10_jaccard_join": oracle.NEAR_GROUPS,
+    "base_pii": oracle.PII_BASE,
+    "base_url_rules": oracle.URL_RULES,
+    "base_repetition": oracle.REPETITION_BASE,
 }
