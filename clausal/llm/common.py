@@ -56,9 +56,25 @@ def unused(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def held_keys(rows: DataFrame, key: F.Column, most: int = 28) -> tuple[DataFrame, int]:
+    """A bitmap of the keys of rows, in rows of 4 KiB, and its number of bits: about 16 a key, but 2**most (32 MiB) at most."""
+    bits = 1 << min(most, max(20, (16 * rows.count()).bit_length()))
+    spot = F.pmod(key, F.lit(bits))
+    return rows.groupBy(F.bitmap_bucket_number(spot).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bitmap")), bits
+
+
+def marked(docs: DataFrame, key: F.Column, held: tuple[DataFrame, int], name: str) -> DataFrame:
+    """docs with a column that is true where the bitmap may hold the key, and always where it does; the bitmap goes to all tasks, docs stay where they are."""
+    chunk, at, bitmap = unused(docs, "chunk", "at", "bitmap")
+    spot = F.pmod(key, F.lit(held[1]))
+    spread = docs.withColumns({chunk: F.bitmap_bucket_number(spot), at: F.bitmap_bit_position(spot)}).join(F.broadcast(held[0].toDF(chunk, bitmap)), chunk, "left")
+    bit = F.expr(f"shiftright(cast(conv(hex(substring(`{bitmap}`, cast(`{at}` div 8 as int) + 1, 1)), 16, 10) as int), cast(`{at}` % 8 as int)) & 1 = 1")
+    return spread.withColumn(name, F.coalesce(bit, F.lit(False))).drop(chunk, at, bitmap)
+
+
 def text_key(column: str = "text") -> F.Column:
     """A 64-bit key of a text that tells apart rows which share an id; null has its own."""
     return F.xxhash64(F.col(column), F.col(column).isNull())
 
 
-__all__ = ["SLICE_CHARS", "WORD", "dropped", "released", "shared_dir", "slices", "table", "text_key", "unused", "written"]
+__all__ = ["SLICE_CHARS", "WORD", "dropped", "held_keys", "marked", "released", "shared_dir", "slices", "table", "text_key", "unused", "written"]

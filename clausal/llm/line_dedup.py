@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausal.llm.common import WORD, dropped, slices, text_key, unused, written
+from clausal.llm.common import WORD, dropped, held_keys, marked, slices, text_key, unused, written
 
 _WORDS = re.compile(WORD)
 
@@ -268,9 +268,13 @@ def dedup_lines(docs: DataFrame, block_words: int = 25, drop_emptied: bool = Fal
     With `drop_emptied`, documents that lose all their words are dropped.
     """
     columns = docs.columns
-    at, key, flags = unused(docs, "at", "key", "gone")
-    gone = deletions(docs, block_words).withColumnsRenamed({"id": at, "key": key, "gone": flags})
-    met = docs.withColumns({at: F.coalesce("doc_id", F.lit(LAST)), key: text_key()}).join(gone, [at, key], "left")
+    at, key, flags, mark = unused(docs, "at", "key", "gone", "mark")
+    gone = deletions(docs, block_words)
+    held = held_keys(gone, F.xxhash64("id", "key"))
+    place = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), text_key())
+    known = marked(docs, F.xxhash64(*place), held, mark)
+    # texts that lose nothing aren't shuffled
+    met = known.filter(mark).withColumns({at: place[0], key: place[1]}).join(gone.withColumnsRenamed({"id": at, "key": key, "gone": flags}), [at, key], "left")
     loses = F.col(flags).isNotNull()
     left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.coalesce(F.get(flags, i), F.lit(False)))
     n_gone = F.when(loses, F.size(F.filter(flags, lambda g: g))).otherwise(0).cast("long")
@@ -279,6 +283,7 @@ def dedup_lines(docs: DataFrame, block_words: int = 25, drop_emptied: bool = Fal
         changed["n_chars"] = F.when(loses, F.length(changed["text"])).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     kept = [c for c in columns if c != "n_gone"]
     out = met.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in kept], n_gone.alias("n_gone"))
+    out = known.filter(~F.col(mark)).select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias("n_gone")).unionByName(out)
     if drop_emptied:
         out = out.filter((F.col("n_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out
