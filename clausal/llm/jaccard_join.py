@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausal.llm.common import WORD, dropped, released, slices, text_key, unused, written
+from clausal.llm.common import WORD, dropped, held_keys, marked, released, slices, text_key, unused, written
 from clausal.llm.components import components
 
 _WORDS = re.compile(WORD.encode())
@@ -60,9 +60,6 @@ SMALL = 8
 #: Digests of sets that a task remembers, so as to file equal ones once.
 SEEN = 200_000
 
-#: The bitmap of wanted documents has 2**BITMAP bits (32 MiB) at most.
-BITMAP = 28
-
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -239,23 +236,14 @@ def rarest(met: DataFrame) -> DataFrame:
     return once.withColumn("place", F.row_number().over(place)).filter("place >= need").select("bucket", "slot")
 
 
-def held_ids(wanted: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """A bitmap of the ids and text keys of wanted (cid, rkey), in rows of 4 KiB, and its bits: at most 2**BITMAP of them."""
-    bits = 1 << min(BITMAP, max(20, (16 * n).bit_length()))
-    spot = F.pmod(F.xxhash64("cid", "rkey"), F.lit(bits))
-    return wanted.groupBy(F.bitmap_bucket_number(spot).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bitmap")), bits
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(nid, n, items, wide) of the wanted classes (nid, cid, rkey, sig), from the texts of their first rows.
 
     A bitmap of fixed size at most goes to all tasks, so that hardly any other texts are
     read, and only sets are shuffled, not texts.
     """
-    bitmap, bits = held_ids(wanted, wanted.count())
-    spot = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text_key()), F.lit(bits))
-    near = docs.select("text", F.bitmap_bucket_number(spot).alias("chunk"), F.bitmap_bit_position(spot).alias("at")).join(F.broadcast(bitmap), "chunk")
-    found = near.filter("shiftright(cast(conv(hex(substring(bitmap, cast(at div 8 as int) + 1, 1)), 16, 10) as int), cast(at % 8 as int)) & 1 = 1").select("text")
+    held = held_keys(wanted, F.xxhash64("cid", "rkey"))
+    found = marked(docs.select("doc_id", "text"), F.xxhash64(F.col("doc_id").cast("long"), text_key()), held, "wanted").filter("wanted").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(k), set()
@@ -305,7 +293,7 @@ def _beside_hubs(large: DataFrame, sets: DataFrame, percent: int) -> tuple[DataF
     by votes of their members.
     """
     own = large.select("bucket", "nid", "label")
-    votes = own.join(own.groupBy("bucket").agg(F.min("nid").alias("hub")), "bucket").groupBy("nid", "hub").agg(F.count(F.lit(1)).alias("c"))
+    votes = own.join(_central(own).select("bucket", "hub.nid").withColumnRenamed("nid", "hub"), "bucket").groupBy("nid", "hub").agg(F.count(F.lit(1)).alias("c"))
     best = votes.groupBy("nid").agg(F.max(F.struct("c", "hub")).alias("best")).select("nid", "best.hub")
     chosen = own.join(best, "nid").groupBy("bucket", "hub").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "hub")).alias("best"))
     met = own.join(chosen.select("bucket", "best.hub"), "bucket").filter("nid <> hub").select("nid", "label", "hub").distinct()
@@ -358,16 +346,22 @@ def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
     return out
 
 
+def _central(open_rows: DataFrame) -> DataFrame:
+    """(bucket, hub): of each bucket the member (nid, label) that is in most open buckets, as copies with few changes are."""
+    degrees = open_rows.groupBy("nid").agg(F.count(F.lit(1)).alias("h"))
+    return open_rows.join(degrees, "nid").groupBy("bucket").agg(F.max(F.struct("h", "nid", "label")).alias("hub"))
+
+
 def _by_hubs(rows: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
     """The labels after so many rounds over buckets (bucket, nid), or fewer if they have little more to give.
 
-    A round draws a hub of each bucket that is still open, and every class of another
-    component in such buckets tries the hub that it meets most often.
+    A round takes a hub of each bucket that is still open, first the most central one, then
+    any, and every class of another component in such buckets tries the hub that it meets most often.
     """
     for turn in range(rounds):
         open_rows = written(_open(_labelled(rows, labels).select("bucket", "nid", "label")), "open")
-        draw = F.struct(F.xxhash64(F.lit(turn), "nid").alias("h"), "nid", "label")
-        tries = open_rows.join(open_rows.groupBy("bucket").agg(F.min(draw).alias("hub")), "bucket").filter("label <> hub.label")
+        hubs = _central(open_rows) if turn == 0 else open_rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "nid").alias("h"), "nid", "label")).alias("hub"))
+        tries = open_rows.join(hubs, "bucket").filter("label <> hub.label")
         votes = tries.groupBy("nid", F.col("hub.nid").alias("hub")).agg(F.count(F.lit(1)).alias("c"))
         pairs = written(votes.groupBy("nid").agg(F.max(F.struct("c", "hub")).alias("best")).select(F.col("nid").alias("a"), F.col("best.hub").alias("b")), "pairs")
         more = written(verified(pairs, sets, percent), "links")
@@ -404,22 +398,17 @@ def link_groups(docs: DataFrame, percent: int = 80, k: int = 5, rounds: int = 6)
     for part in met:
         dropped(part)
     del met
-    ends = kept.groupBy("bucket").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).filter("lo < hi")
+    ends = kept.groupBy("bucket").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).filter("lo < hi").select("bucket")
     shared = written(kept.join(ends, "bucket"), "shared")
     dropped(kept)
     del kept, ends
     released(spark)
     wanted = classes.join(shared.select("nid").distinct(), "nid", "left_semi")
     sets = written(sets_of(docs, wanted, k), "sets")
-    # first round: every class against the hub with which it shares most
-    hubs = shared.select("nid", F.explode(F.array("lo", "hi")).alias("hub")).filter("nid <> hub").groupBy("nid", "hub").agg(F.count(F.lit(1)).alias("c"))
-    pairs = hubs.groupBy("nid").agg(F.max(F.struct("c", "hub")).alias("best")).select(F.col("nid").alias("a"), F.col("best.hub").alias("b"))
-    links = written(verified(pairs, sets, percent), "links")
-    labels = components(links)
-    dropped(links)
-    labels = _by_hubs(shared.select("bucket", "nid"), labels, sets, percent, rounds)
+    labels = spark.createDataFrame([], "node long, label long")
+    labels = _by_hubs(shared, labels, sets, percent, rounds)
     # a bucket is open while it holds two components
-    open_rows = written(_open(_labelled(shared.select("bucket", "nid"), labels)), "open")
+    open_rows = written(_open(_labelled(shared, labels)), "open")
     if not open_rows.isEmpty():
         beside, changes = _beside_hubs(open_rows.filter(F.col("members") > SMALL), sets, percent)
         small = open_rows.filter(F.col("members") <= SMALL).select("bucket", "nid")
