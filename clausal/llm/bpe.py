@@ -8,7 +8,7 @@ incompatible pair are merged step by step.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text;
 the special tokens of the vocabulary are recognised inside texts; repeated rows are
-encoded alike; other columns pass through unless an output column has their name.
+encoded alike; a very long text is encoded whole; an empty table gives no rows; other columns pass through unless an output column has their name.
 """
 
 from __future__ import annotations

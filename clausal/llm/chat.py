@@ -18,7 +18,8 @@ control string; `read_back` undoes it.
 
 Defined results: a null text or role is empty; a conversation's turns are ordered by turn
 (null first), then role, then text; repeated rows are turns of their own; a null conv_id
-is one conversation; an empty table gives no rows.
+is one conversation; very long texts and conversations stream through whole; an empty table
+gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations

@@ -225,9 +225,12 @@ def deletions(docs: DataFrame, block_words: int = 25) -> DataFrame:
     """(id, key, gone): for each later document that loses lines, whether the line at a place goes, up to the last that does."""
     lines = written(shared_lines(docs, block_words), "lines")
     place = F.struct("id", "key")
-    stats = lines.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("df")).filter("first <> last").select("h", "first", "df")
+    # in a table of its own, so that the join with it can be split where a line is very frequent
+    stats = lines.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("df")).filter("first <> last")
+    stats = written(stats.select("h", "first", "df"), "stats")
     shared = written(lines.join(stats, "h"), "shared")
     dropped(lines)
+    dropped(stats)
     later = shared.filter("id <> first.id or key <> first.key")
     pairs = later.select("id", "key", F.col("first.id").alias("id_e"), F.col("first.key").alias("key_e"))
     rare = shared.filter(F.col("df").between(3, RARE) & (F.col("words") > 0)).select("h", "id", "key")  # of two documents one is the first

@@ -14,17 +14,20 @@ a bucket, so that a source with a third of all rows is spread over all buckets.
 
 Defined results: a null text or one without words has size 0 and is never taken; null is a
 source of its own and comes last; repeated rows are documents of their own, each with its
-place, and in the training sequence one of them appears at all their places; an empty table gives no rows.
+place, and in the training sequence one of them appears at all their places; the words of a very
+long text count like others, though its source may miss its target by half of it; an empty
+table gives no rows; other columns pass through `mixed`, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausal.llm.common import WORD, text_key, written
+from clausal.llm.common import WORD, dropped, text_key, unused, written
 
 LAST = (1 << 63) - 1
 
@@ -101,8 +104,8 @@ def planned(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float =
     """
     # md5 is the order, so that SQL can state it; three hex digits of it choose the bucket
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = written(docs.select("doc_id", "source", text_key().alias("key"), sizes().alias("size"), order.alias("order")), "sizes")
-    rows = rows.withColumns({"name": F.coalesce("source", F.lit("")), "none": F.col("source").isNull(), "bucket": F.conv(F.substring("order", 1, 3), 16, 10).cast("int")})
+    sized = written(docs.select("doc_id", "source", text_key().alias("key"), sizes().alias("size"), order.alias("order")), "sizes")
+    rows = sized.withColumns({"name": F.coalesce("source", F.lit("")), "none": F.col("source").isNull(), "bucket": F.conv(F.substring("order", 1, 3), 16, 10).cast("int")})
     at = ["name", "none", "bucket"]
     buckets = rows.groupBy(*at).agg(F.sum("size").alias("in"), F.first("source").alias("source"))
     ahead = Window.partitionBy("name", "none").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,9 +116,11 @@ def planned(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float =
     within = Window.partitionBy(*at).orderBy("order", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
     met = met.withColumn("begin", F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     passes = F.floor((F.col("target") - F.col("begin") - F.col("size") / 2) / F.col("source_size")) + 1
-    repeats = F.when(F.col("size") > 0, F.least(F.greatest(passes, F.lit(0)), F.lit(int(most)))).otherwise(0).cast("long")
+    repeats = F.when(F.col("size") > 0, F.least(F.greatest(passes, F.lit(0)), F.lit(math.ceil(most)))).otherwise(0).cast("long")
     out = met.withColumn("repeats", repeats)
-    return out.select("doc_id", "key", "size", "source_size", "target", "rank", "begin", (F.col("repeats") * F.col("size")).alias("taken"), "repeats")
+    out = out.select("doc_id", "key", "size", "source_size", "target", "rank", "begin", (F.col("repeats") * F.col("size")).alias("taken"), "repeats")
+    out._clausal_path = sized._clausal_path  # so that dropped() deletes what it is read from
+    return out
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, curriculum: Sequence[Schedule] = CURRICULUM) -> DataFrame:
@@ -125,20 +130,22 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3
     of ranges are quantiles of the plan's positions. Rows equal in id and text share
     their places: each is taken as often as its own place in the stream says.
     """
-    plan = planned(docs, weights, most).filter("repeats > 0").select("doc_id", "key", "rank", "begin", "repeats", "source_size", "target")
-    turns = plan.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("repeats").cast("int") - 1)))
+    plan = planned(docs, weights, most)
+    turns = plan.filter("repeats > 0").select("doc_id", "key", "rank", "begin", "repeats", "source_size", "target").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("repeats").cast("int") - 1)))
     share = (F.col("begin") + F.col("turn") * F.col("source_size")) / F.col("target")
     spots = turns.select("doc_id", "key", position(share, F.col("rank"), curriculum).alias("at"))
     # rows equal in id and text: all their places go to one of them
     spots = written(spots.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list("at")).alias("spots")), "plan")
+    dropped(plan)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     borders = spots.select(F.explode("spots").alias("at")).agg(F.percentile_approx("at", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
-    keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(LAST)), "__key": text_key()}).dropDuplicates(["__id", "__key"])
-    goals = spots.select(F.coalesce("doc_id", F.lit(LAST)).alias("__id"), F.col("key").alias("__key"), "spots")
-    placed = keyed.join(goals, ["__id", "__key"]).withColumn("__at", F.explode("spots"))
+    by, key, all_at, at = unused(docs, "id", "key", "spots", "at")
+    keyed = docs.withColumns({by: F.coalesce("doc_id", F.lit(LAST)), key: text_key()}).dropDuplicates([by, key])
+    goals = spots.select(F.coalesce("doc_id", F.lit(LAST)).alias(by), F.col("key").alias(key), F.col("spots").alias(all_at))
+    placed = keyed.join(goals, [by, key]).withColumn(at, F.explode(all_at))
     limits = F.array(*[F.lit(float(b)) for b in borders or []]).cast("array<double>")
-    part = F.size(F.filter(limits, lambda b: b < F.col("__at")))
-    return placed.repartitionById(parts, part).sortWithinPartitions("__at", "__id").select(docs.columns)
+    part = F.size(F.filter(limits, lambda b: b < F.col(at)))
+    return placed.repartitionById(parts, part).sortWithinPartitions(at, by).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_report(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, curriculum: Sequence[Schedule] = CURRICULUM) -> DataFrame:
@@ -147,6 +154,7 @@ def mix_report(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: floa
     share = F.when(F.col("repeats") > 0, F.col("begin") / F.col("target"))
     placed = plan.withColumn("position", F.when(share.isNotNull(), position(share, F.col("rank"), curriculum)))
     placed = written(placed.select("doc_id", "size", "source_size", "target", "taken", "position"), "placed")
+    dropped(plan)
     return placed.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 

@@ -6,7 +6,8 @@ its intervals are the maximal repeated substrings of each text. The union of the
 gives the share of repeated words, and the highest prefix the longest repeat.
 
 Defined results: a null or empty text, or one of separators only, has no words and fails
-the base rule; repeated rows are judged alike, each by its own text.
+the base rule; repeated rows are judged alike, each by its own text; a very long text
+is measured whole; an empty table gives no rows; only the columns in `keep` are carried.
 """
 
 from __future__ import annotations

@@ -13,12 +13,13 @@ queries at a time: scores of frequent terms are matrix products, rare terms are
 from their postings. Documents near or above the threshold are scored again in double
 precision; equal scores rank by id.
 
-Queries pass in groups of a bounded number, each broadcast to all shards.
+Queries pass in groups of a bounded number of queries and of terms, each broadcast to all shards.
 
 Defined results: terms are lower-cased runs of letters and digits, each counted once in a
 query; only documents that share a term with the query are ranked; null and empty texts
 are never found and as queries find nothing; repeated rows are documents of their own;
-a null id ranks last among equals.
+a null id ranks last among equals; very long texts are indexed and asked whole; an empty
+table of documents or of queries gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -39,6 +40,9 @@ _TOKENS = re.compile(r"[^\W_]+")
 #: Documents of a shard, of a block, and queries that run against a shard at a time and in one broadcast.
 SHARD, BLOCK, BATCH, GROUP = 12_288, 128, 192, 2_048
 
+#: Distinct terms of the queries in one broadcast, about, which take 16 bytes each.
+GROUP_TERMS = 2_000_000
+
 #: Terms in at least so large a share of a shard's documents are scored by matrix products.
 FREQUENT = 1 / 32
 
@@ -276,7 +280,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = rows.groupBy("query_id", "key").agg(F.sort_array(F.collect_list(F.struct("term", idf.alias("idf")))).alias("terms"))
     weighed = written(weighed, "queries")
-    groups = -(-weighed.count() // GROUP)
+    asked_for, terms = weighed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    groups = max(-(-asked_for // GROUP), -(-terms // GROUP_TERMS))
     answers = []
     for g in range(groups):
         chosen = weighed.filter(F.pmod(F.xxhash64("query_id", "key"), F.lit(groups)) == g) if groups > 1 else weighed
@@ -300,6 +305,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.float64() if c == "score" else pa.int64()) for c, v in found.items()})
 
         answers.append(written(index.mapInArrow(run, "query_id long, key long, doc_id long, score double"), "answers"))
+        sent.destroy()
     if not answers:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     every = answers[0]
@@ -308,4 +314,5 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     place = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "doc_id")
     best = every.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
     dropped(weighed)
+    dropped(index)
     return best.select("query_id", "rank", F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), "score")

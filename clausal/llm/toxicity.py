@@ -11,8 +11,9 @@ The model is fitted on a sample of at most `train_rows` labelled rows with at mo
 
 Defined results: a null or empty text has no features and scores by the bias; labels other
 than 0 and 1 are ignored and of several labels of a document the highest counts; without
-any label all scores are 0; repeated rows score alike; other columns pass through unless
-an output column has their name.
+any label all scores are 0; repeated rows score alike; a very long text is scored whole, and
+learned from if it fits in `train_features`; an empty table gives no rows; other columns
+pass through unless an output column has their name.
 """
 
 from __future__ import annotations

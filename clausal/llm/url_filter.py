@@ -5,7 +5,8 @@ query keys, all of them. Tokens too rare among the blocked URLs for any rule go
 mining, and tokens that stand in the same labelled URLs are mined as one, as their number
 of combinations would grow without bound. FP-growth over the labelled URLs mines frequent token combinations; with the
 label as a token of its own, rules "combination => blocked" come with their confidence.
-Rules are pruned by support and confidence, and where a part of a combination is already
+Rules are pruned by support, by confidence, both absolute and against the share of blocked
+URLs, and where a part of a combination is already
 as sure. An inverted index from a rule's rarest token to the rule matches them.
 
 Written rules (host, path) come first: a rule fits its host and all subdomains if the
@@ -13,8 +14,10 @@ URL's path starts with the rule's; the longest fitting rule wins. They are looke
 the host's suffixes.
 
 Defined results: a null URL, or one without `://`, has an empty host and path, fits no
-written rule, and is judged by its few tokens; URLs repeat freely; labels other than
-0 and 1 are ignored; without labels nothing is blocked but by written rules.
+written rule, and is judged by its few tokens; URLs and
+page ids repeat freely, and of several labels of a page the highest counts; labels other than
+0 and 1 are ignored; without labels nothing is blocked but by written rules; a very long URL
+is judged by all its tokens; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ _BLOCKED = "\x00blocked"
 
 LAST = (1 << 63) - 1
 
-_WORD = re.compile(r"[a-z]+|[0-9]+")
+_WORD = re.compile(r"[^\W\d_]+|[0-9]+")
 
 
 def host_of(url: Column) -> Column:
@@ -83,7 +86,7 @@ def written_rule(host: str, path: str, rules: dict[str, list[tuple[str, str, str
     return max(fits, key=lambda r: len(r[0]), default=None)
 
 
-def mined_rules(urls: DataFrame, labels: DataFrame, min_support: float, min_confidence: float, most_tokens: int, min_rows: int) -> list[tuple[tuple[str, ...], float]]:
+def mined_rules(urls: DataFrame, labels: DataFrame, min_support: float, min_confidence: float, most_tokens: int, min_rows: int, min_lift: float = 1.5) -> list[tuple[tuple[str, ...], float]]:
     """(tokens, confidence) of the rules for blocking, from urls (id, url) and labels (id, blocked).
 
     Their number doesn't grow with the data: with support s and t tokens a URL in the mean,
@@ -91,9 +94,11 @@ def mined_rules(urls: DataFrame, labels: DataFrame, min_support: float, min_conf
     """
     kept = labels.filter("id is not null and blocked in (0, 1)").groupBy("id").agg(F.max("blocked").alias("blocked"))
     marked = urls.join(kept, "id").select("url", "blocked")
-    total = marked.count()
-    if not total:
+    total, bad = marked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("blocked").cast("long")), F.lit(0))).first()
+    if not bad:
         return []
+    # a rule must also be surer than chance: by so much more than the share of blocked URLs, unless that leaves no room
+    min_confidence = max(min_confidence, min(min_lift * bad / total, 0.95))
     support = max(min_support, min(1.0, min_rows / total))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -316,3 +316,14 @@ def test_repetition_frame(spark):
     clean = " ".join(f"v{i}" for i in range(9000))
     df = spark.createDataFrame([(1, f"{long} {clean} {long}"), (2, clean)], "doc_id long, text string")
     assert {r.doc_id: (r.base_failed, r.kept) for r in repetition.judge(df).collect()} == {1: (False, False), 2: (False, True)}
+
+
+def test_url_words_of_other_scripts(spark):
+    rows = [(i, f"http://h{i}.net/{'казино' if i % 3 == 0 else 'музей'}/{i}") for i in range(90)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = pages.selectExpr("page_id", "cast(url like '%казино%' as int) as blocked").filter("page_id % 5 <> 0")
+    got = {r.page_id: r.verdict for r in url_filter.judged(pages, labels, []).collect()}
+    assert all((got[i] == "block") == (i % 3 == 0) for i in range(90))
+    # where most pages are blocked, a token must be surer than that
+    common = pages.selectExpr("page_id", "cast(page_id % 10 <> 0 as int) as blocked")
+    assert {r.verdict for r in url_filter.judged(pages, common, []).collect()} == {"allow"}
