@@ -597,3 +597,39 @@ def test_pipeline(spark, tmp_path):
     assert ids["mixing"] <= ids["near_duplicates"] and len(seen["mixing"]) == len(seen["bpe"])
     run = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((r.doc_id, r.ids_sha256) for r in run) == Counter((r.doc_id, r.ids_sha256) for r in seen["bpe"])
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame(spark, [(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame(spark, [], schema), str(tmp_path)).count() == 0
+
+
+def test_ftrl_equals_a_plain_version():
+    """The weights of the vectorised fit are those of the published update, coordinate by coordinate."""
+    rng = random.Random(9)
+    examples = [(np.array(sorted(rng.sample(range(30), 6)), dtype=np.int32), rng.randint(0, 1)) for _ in range(60)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.3, 0.1
+    bias = 1 << toxicity.BITS
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        shrink = 0.0 if i == bias else l1
+        if abs(z[i]) <= shrink:
+            return 0.0
+        return -(z[i] - math.copysign(shrink, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(2):
+        for x, y in examples:
+            at = [*x.tolist(), bias]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in at:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    at, w = toxicity.fit(examples, alpha, beta, l1, l2, 2)
+    want = {i: weight(i) for i in [*range(30), bias] if weight(i)}
+    assert dict(zip(at.tolist(), w.tolist(), strict=True)).keys() == want.keys()
+    assert all(abs(want[i] - v) < 1e-9 for i, v in zip(at.tolist(), w.tolist(), strict=True))
