@@ -339,10 +339,11 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
 
 
-def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+def _joined(labels: DataFrame, links: list[DataFrame]) -> DataFrame:
     """The labels with further links (a, b); the stars so far hold all that the links so far say."""
-    out = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more.select("a", "b")))
-    dropped(labels)
+    out = components(reduce(DataFrame.unionByName, [labels.select(F.col("node").alias("a"), F.col("label").alias("b")), *links]))
+    for frame in (labels, *links):
+        dropped(frame)
     return out
 
 
@@ -352,8 +353,8 @@ def _central(open_rows: DataFrame) -> DataFrame:
     return open_rows.join(degrees, "nid").groupBy("bucket").agg(F.max(F.struct("h", "nid", "label")).alias("hub"))
 
 
-def _by_hubs(rows: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
-    """The labels after so many rounds over buckets (bucket, nid), or fewer if they have little more to give.
+def _by_hubs(rows: DataFrame, labels: DataFrame, links: list[DataFrame], sets: DataFrame, percent: int, rounds: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The labels after so many rounds over buckets (bucket, nid), or fewer if they have little more to give, and the links that these don't hold yet.
 
     A round takes a hub of each bucket that is still open, first the most central one, then
     any, and every class of another component in such buckets tries the hub that it meets most often.
@@ -366,13 +367,13 @@ def _by_hubs(rows: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
         pairs = written(votes.groupBy("nid").agg(F.max(F.struct("c", "hub")).alias("best")).select(F.col("nid").alias("a"), F.col("best.hub").alias("b")), "pairs")
         more = written(verified(pairs, sets, percent), "links")
         found, tried = more.count(), pairs.count()
-        if found:
-            labels = _joined(labels, more)
-        for frame in (open_rows, pairs, more):
-            dropped(frame)
+        links = [*links, more]
+        dropped(open_rows)
+        dropped(pairs)
         if found * 16 < tried or not found:
             break
-    return labels
+        labels, links = _joined(labels, links), []
+    return labels, links
 
 
 def link_groups(docs: DataFrame, percent: int = 80, k: int = 5, rounds: int = 6) -> DataFrame:
@@ -406,18 +407,19 @@ def link_groups(docs: DataFrame, percent: int = 80, k: int = 5, rounds: int = 6)
     wanted = classes.join(shared.select("nid").distinct(), "nid", "left_semi")
     sets = written(sets_of(docs, wanted, k), "sets")
     labels = spark.createDataFrame([], "node long, label long")
-    labels = _by_hubs(shared, labels, sets, percent, rounds)
+    labels, links = _by_hubs(shared, labels, [], sets, percent, rounds)
     # a bucket is open while it holds two components
     open_rows = written(_open(_labelled(shared, labels)), "open")
     if not open_rows.isEmpty():
         beside, changes = _beside_hubs(open_rows.filter(F.col("members") > SMALL), sets, percent)
         small = open_rows.filter(F.col("members") <= SMALL).select("bucket", "nid")
-        labels = _by_hubs(small.unionByName(changes.select("bucket", "nid")), _joined(labels, beside), sets, percent, rounds)
+        labels, links = _by_hubs(small.unionByName(changes.select("bucket", "nid")), labels, [*links, beside], sets, percent, rounds)
         pairs = _across(_labelled(small, labels), _labelled(changes, labels), sets, percent)
         more = written(verified(pairs, sets, percent), "links")
-        labels = _joined(labels, more)
-        for frame in (beside, changes, pairs, more):
-            dropped(frame)
+        links = [*links, more]
+        dropped(changes)
+        dropped(pairs)
+    labels = _joined(labels, links)
     dropped(open_rows)
     named = classes.select("nid", "sig", "cid").join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("sig", "cid", F.coalesce("label", "nid").alias("label"))
     least = named.groupBy("label").agg(F.min("cid").alias("component_id"))
