@@ -73,7 +73,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of shingle hashes; remembers the hashes of words."""
 
-    def __init__(self, k: int, cache: int = 500_000):
+    def __init__(self, k: int, cache: int = 100_000):
         self.k, self.cache, self.known = k, cache, {}
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:

@@ -221,6 +221,12 @@ def flags_of(lines: list[dict], spans: list[dict]) -> list[bool]:
     return flags
 
 
+def few(batch: pa.RecordBatch, rows: int = 128) -> Iterator[dict]:
+    """The rows of a batch as dictionaries, of which only so many are held at a time."""
+    for i in range(0, batch.num_rows, rows):
+        yield from batch.slice(i, rows).to_pylist()
+
+
 def deletions(docs: DataFrame, block_words: int = 25) -> DataFrame:
     """(id, key, gone): for each later document that loses lines, whether the line at a place goes, up to the last that does."""
     lines = written(shared_lines(docs, block_words), "lines")
@@ -243,7 +249,7 @@ def deletions(docs: DataFrame, block_words: int = 25) -> DataFrame:
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[str, list] = {"id": [], "key": [], "start": [], "stop": []}
-            for row in batch.to_pylist():
+            for row in few(batch):
                 for start, stop in common_blocks(row["lines"], row["lines_e"], block_words):
                     for c, v in zip(found, (row["id"], row["key"], start, stop), strict=True):
                         found[c].append(v)
@@ -256,7 +262,7 @@ def deletions(docs: DataFrame, block_words: int = 25) -> DataFrame:
 
     def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = [flags_of(row["lines"], row["spans"]) for row in batch.select(["lines", "spans"]).to_pylist()]
+            gone = [flags_of(row["lines"], row["spans"]) for row in few(batch.select(["lines", "spans"]))]
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "key": batch.column("key"), "gone": pa.array(gone, pa.list_(pa.bool_()))})
 
     gone = written(spans.join(lists, ["id", "key"]).select("id", "key", "lines", "spans").mapInArrow(flags, "id long, key long, gone array<boolean>"), "gone")

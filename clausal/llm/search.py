@@ -54,7 +54,7 @@ LAST = (1 << 63) - 1
 class Terms:
     """Hashed terms of texts; remembers the hashes of words."""
 
-    def __init__(self, cache: int = 500_000):
+    def __init__(self, cache: int = 100_000):
         self.cache, self.known = cache, {}
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:

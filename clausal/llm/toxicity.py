@@ -40,7 +40,7 @@ _SHIFT = np.uint64(64 - BITS)
 class Features:
     """Hashed n-grams of texts; remembers the hashes of words."""
 
-    def __init__(self, cache: int = 500_000):
+    def __init__(self, cache: int = 100_000):
         self.cache, self.known = cache, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -71,9 +71,9 @@ def fit(examples: list[tuple[np.ndarray, int]], alpha: float = 1.0, beta: float
         shrink = np.where(at == bias, 0.0, l1)
         return np.where(np.abs(za) <= shrink, 0.0, -(za - np.sign(za) * shrink) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
-    examples = [(np.append(x, bias), y) for x, y in examples]
     for _ in range(epochs):
-        for at, y in examples:
+        for x, y in examples:
+            at = np.append(x, bias)
             w = weights(at)
             g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - y
             was = n[at]
